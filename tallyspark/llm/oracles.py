@@ -1,6 +1,29 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
 SQL = {
+    "op3_ngram_jaccard_join": r"""
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s
+  FROM tokens
+), postings AS (
+  SELECT doc_id, len(s) AS n, hash(unnest(s)) AS g FROM sets
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common
+  FROM postings a JOIN postings b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM shared WHERE 100 * common >= 85 * (na + nb - common)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(r.b) FROM reach r WHERE r.a = sets.doc_id)::BIGINT AS component_id
+FROM sets
+""",
     "op10_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source,

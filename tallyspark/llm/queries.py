@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm.html_text import html_text
 from tallyspark.llm.mixing import mix
+from tallyspark.llm.ngram_join import ngram_join
 from tallyspark.llm.oracles import SQL
 from tallyspark.llm.secret_scan import secrets
 from tallyspark.llm.shared import table
 from tallyspark.llm.toxicity import toxicity
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(table(spark, sf_dir, "pages"))
 
@@ -31,7 +36,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_html_extraction, op8_secret_scan, op9_toxicity, op10_mixing)}
+    return {f.__name__: f for f in (op3_ngram_jaccard_join, op7_html_extraction, op8_secret_scan, op9_toxicity, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
