@@ -1,6 +1,37 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
 SQL = {
+    "op2_benchmark_decontamination": r"""
+WITH texts AS (
+  SELECT true AS item, item_id AS id, lower(text) AS t FROM benchmark WHERE item_id IS NOT NULL
+  UNION ALL SELECT false, doc_id, lower(text) FROM documents
+), tokens AS (
+  SELECT item, id, regexp_extract_all(coalesce(t, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM texts
+), sets AS (
+  SELECT item, id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s
+  FROM tokens
+), postings AS (
+  SELECT item, id, len(s) AS n, unnest(s) AS g FROM sets
+)
+SELECT d.id AS doc_id, i.id AS item_id, count(*)::BIGINT AS n_shared, any_value(i.n)::BIGINT AS n_item,
+  round(count(*) / any_value(i.n), 6) AS containment
+FROM postings d JOIN postings i ON d.g = i.g AND i.item AND NOT d.item
+GROUP BY d.id, i.id
+HAVING 100 * count(*) >= 80 * any_value(i.n)
+""",
+    "op6_exact_topk": r"""
+WITH v AS (
+  SELECT DISTINCT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 10
+""",
     "op3_ngram_jaccard_join": r"""
 WITH RECURSIVE tokens AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyspark.llm.decontamination import contamination
+from tallyspark.llm.exact_topk import exact_topk
 from tallyspark.llm.html_text import html_text
 from tallyspark.llm.mixing import mix
 from tallyspark.llm.ngram_join import ngram_join
@@ -15,10 +17,18 @@ from tallyspark.llm.shared import table
 from tallyspark.llm.toxicity import toxicity
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(table(spark, sf_dir, "embeddings"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(table(spark, sf_dir, "pages"))
 
@@ -36,7 +46,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_jaccard_join, op7_html_extraction, op8_secret_scan, op9_toxicity, op10_mixing)}
+    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_ngram_jaccard_join, op6_exact_topk, op7_html_extraction, op8_secret_scan, op9_toxicity, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
