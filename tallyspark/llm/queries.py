@@ -14,6 +14,7 @@ from tallyspark.llm.ngram_join import ngram_join
 from tallyspark.llm.oracles import SQL
 from tallyspark.llm.secret_scan import secrets
 from tallyspark.llm.shared import table
+from tallyspark.llm.suffix_dedup import suffix_dedup
 from tallyspark.llm.toxicity import toxicity
 
 
@@ -25,6 +26,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"))
 
@@ -46,7 +51,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_ngram_jaccard_join, op6_exact_topk, op7_html_extraction, op8_secret_scan, op9_toxicity, op10_mixing)}
+    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_ngram_jaccard_join, op5_suffix_array_dedup, op6_exact_topk, op7_html_extraction, op8_secret_scan, op9_toxicity, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
