@@ -1,6 +1,8 @@
 """Suffix-array dedup: removes every byte covered by a `LENGTH`-byte string that
 also starts in a document with a smaller id.
 
+0. Of equal texts only the one with the smallest id goes on; a later copy of LENGTH
+   bytes or more goes whole.
 1. Every string of LENGTH bytes has a minimum among the hashes of its 16-byte
    grams; equal strings have equal minima. One pass counts in how many documents each
    minimum occurs. Only strings whose minimum is shared can repeat, so a bitmap of
@@ -37,7 +39,7 @@ from tallyspark.llm.shared import dealt, materialize
 
 LENGTH, GRAM = 50, 16
 #: Fixed bounds: bits of the broadcast bitmap; bytes of a suffix array; windows of a stretch.
-BITMAP_BITS, SHARD_BYTES, STRETCH = 27, 1 << 20, 4096
+BITMAP_BITS, SHARD_BYTES, STRETCH = 27, 1 << 19, 4096
 #: A minimum is salted if over HOT documents have it and it is among the HOT_KEYS most frequent.
 HOT, HOT_KEYS, SALTS = 2000, 4096, 16
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -73,8 +75,8 @@ def minima(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, inside
 
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """(m): each document's distinct minima."""
+def anchors(texts: DataFrame) -> DataFrame:
+    """(m): each text's distinct minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +91,7 @@ def anchors(docs: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["m"])
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(run, "m long")
+    return texts.select("text").mapInArrow(run, "m long")
 
 
 def bitmap(shared: DataFrame) -> np.ndarray:
@@ -104,9 +106,9 @@ def bitmap(shared: DataFrame) -> np.ndarray:
     return out
 
 
-def stretches(docs: DataFrame, bits: np.ndarray, hot: np.ndarray) -> DataFrame:
+def stretches(texts: DataFrame, bits: np.ndarray, hot: np.ndarray) -> DataFrame:
     """(m, salt, doc_id, version, at, bytes): runs of strings with one shared minimum."""
-    shipped = docs.sparkSession.sparkContext.broadcast((bits, hot))
+    shipped = texts.sparkSession.sparkContext.broadcast((bits, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, hot = shipped.value
@@ -142,15 +144,15 @@ def stretches(docs: DataFrame, bits: np.ndarray, hot: np.ndarray) -> DataFrame:
                 salt = np.where(salted, tk.seeded(owner.astype(np.int64).view(np.uint64), 3) % np.uint64(SALTS) + np.uint64(1), 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt), pa.array(owner), pa.array(versions[first + text]), pa.array(begin - offsets[text]), rows], ["m", "salt", "doc_id", "version", "at", "bytes"])
 
-    chosen = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
-    return chosen.mapInArrow(run, "m long, salt int, doc_id long, version long, at long, bytes binary")
+    return texts.select("doc_id", "version", "text").mapInArrow(run, "m long, salt int, doc_id long, version long, at long, bytes binary")
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in the order of their next depth bytes or more (Larsson-Sadakane)."""
+def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in the order of their next depth bytes or more (Larsson-Sadakane), and
+    whether each one's differ from those of the one before."""
     n = len(data)
     key = words_at(data).byteswap()
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     rank = np.empty(n, dtype=np.int64)
     sorted_ = key[order]
     new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
@@ -167,7 +169,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         ahead = at + h
         second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
         pair = rank[at] << 32 | second
-        by = np.argsort(pair, kind="stable")
+        by = np.argsort(pair)
         order[open_] = at[by]
         pair = pair[by]
         fresh = np.concatenate([[True], pair[1:] != pair[:-1]])
@@ -175,10 +177,10 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         head = np.flatnonzero(fresh)
         rank[order[open_]] = np.repeat(open_[head], np.diff(np.append(head, len(open_))))
         h *= 2
-    return order
+    return order, new
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int, lane: int = 64) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, new: np.ndarray, depth: int, lane: int = 64) -> np.ndarray:
     """Of each entry of the suffix array, the bytes it shares with the one before, up to depth.
 
     Kasai's rule in lanes of neighbouring positions: all lanes step together, each
@@ -191,6 +193,9 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int, lane: int =
     before = np.full(n, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
     out = np.zeros(n, dtype=np.int64)
+    # the refinement has already found these equal to a greater depth
+    equal = np.zeros(n, dtype=bool)
+    equal[order[~new]] = True
     starts = np.arange(0, n, lane)
     length = np.zeros(len(starts), dtype=np.int64)
     for t in range(lane):
@@ -202,6 +207,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int, lane: int =
         if t:
             length = np.where((length < depth) | (prior == before[at - 1] + 1), np.maximum(length - 1, 0), 0)
         length[prior < 0] = 0
+        length[equal[at]] = depth
         going = np.flatnonzero((prior >= 0) & (length < depth))
         while len(going):
             a, b, so = at[going], prior[going], length[going]
@@ -218,8 +224,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int, lane: int =
 def decide(flat: np.ndarray, cut: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Per byte of the stretches flat[cut[i]:cut[i+1]]: 2 where a string starts that also
     starts in a smaller document of this shard, 1 where another one starts, else 0."""
-    order = suffix_array(flat, LENGTH)
-    shared = common_prefixes(flat, order, LENGTH)
+    order, new = suffix_array(flat, LENGTH)
+    shared = common_prefixes(flat, order, new, LENGTH)
     row = np.repeat(np.arange(len(ids)), np.diff(cut))
     begins = np.arange(len(flat)) + LENGTH <= cut[row + 1]
     on = np.flatnonzero(begins[order])
@@ -336,15 +342,57 @@ def merged(pieces: DataFrame) -> DataFrame:
     return dealt(ready, "m").sortWithinPartitions("m", "doc_id", "at").mapInArrow(run, SPANS)
 
 
+def in_bitmap(texts: DataFrame, bits: np.ndarray, wanted: bool) -> DataFrame:
+    """The rows whose version is, or is not, in the bitmap."""
+    shipped = texts.sparkSession.sparkContext.broadcast(bits)
+    at = texts.columns.index("version")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shipped.value
+        for batch in batches:
+            place = (batch.column(at).to_numpy() & ((1 << BITMAP_BITS) - 1)).astype(np.int64)
+            yield batch.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0) == wanted))
+
+    return texts.mapInArrow(run, texts.schema)
+
+
+def without_copies(docs: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Texts (doc_id, version, text), each distinct one once, under its smallest id; and the
+    other copies (doc_id, version, at, size), which go whole.
+
+    Only the rows whose hash is in a bitmap of the repeated hashes are shuffled.
+    """
+    texts = docs.where(F.octet_length("text") >= LENGTH).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    check = F.xxhash64(F.lit(1), F.col("text")).alias("check")
+    twice = materialize(texts.groupBy("version", check).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copies")
+    bits = bitmap(twice.withColumnRenamed("version", "m"))
+    some = materialize(in_bitmap(texts, bits, True).withColumn("check", check), "repeated")
+    ids = some.select("doc_id", "version", "check", F.octet_length("text").cast("long").alias("size")).join(twice, ["version", "check"], "left")
+    ids = materialize(ids.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("first"), F.lit(True))), "ids")
+    firsts = ids.where("kept").select("doc_id", "version", "check").distinct()
+    kept = some.join(firsts, ["doc_id", "version", "check"], "left_semi").dropDuplicates(["doc_id", "version", "check"]).select("doc_id", "version", "text")
+    later = ids.where("not kept").select("doc_id", "version", F.lit(0).cast("long").alias("at"), "size").distinct()
+    return [in_bitmap(texts, bits, False), materialize(kept, "firsts")], later
+
+
+def united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, version, spans): what to remove; version is the text's hash, as ids may repeat."""
-    shared = materialize(anchors(docs).groupBy("m").agg(F.count("*").alias("n")).where("n > 1"), "minima")
+    texts, copies = without_copies(docs)
+    shared = materialize(united([anchors(t) for t in texts]).groupBy("m").agg(F.count("*").alias("n")).where("n > 1"), "minima")
     hot = np.array([r.m for r in shared.where(F.col("n") > HOT).orderBy(F.desc("n"), "m").limit(HOT_KEYS).collect()], dtype=np.int64)
-    found = materialize(sharded(stretches(docs, bitmap(shared), hot)), "spans")
-    parts = [found.where("bytes is null")]
+    bits = bitmap(shared)
+    found = materialize(sharded(united([stretches(t, bits, hot) for t in texts])), "spans")
+    parts = [copies, found.where("bytes is null").select(*copies.columns)]
     if len(hot):
-        parts.append(merged(found.where("bytes is not null")))
-    spans = parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
+        parts.append(merged(found.where("bytes is not null")).select(*copies.columns))
+    spans = united(parts)
     return spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "size")).alias("spans"))
 
 
