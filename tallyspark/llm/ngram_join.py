@@ -141,7 +141,7 @@ def candidate_edges(reps: DataFrame, num: int, den: int) -> DataFrame:
     many = Window.partitionBy("key")
     posts = posts.withColumn("rows", F.count("*").over(many)).where("rows > 1")
     posts = split(posts, "rep", F.ceil(F.col("rows") / TILE).cast("int"))
-    posts = posts.join(reps.select("rep", "bits"), "rep").select("key", "left", "right", "n", "rep", "side", "bits")
+    posts = posts.join(reps.select("rep", "bits").hint("merge"), "rep").select("key", "left", "right", "n", "rep", "side", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, starts in groups(batches, ["key", "left", "right"]):
@@ -209,7 +209,7 @@ def exact_links(docs: DataFrame, members: DataFrame, k: int, num: int, den: int)
     """
     whole = Window.partitionBy("label")
     members = members.withColumn("blocks", F.ceil(F.greatest(F.count("*").over(whole) / BLOCK_ROWS, F.sum("n").over(whole) / BLOCK_SHINGLES)).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members, "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members.hint("merge"), "id")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,14 +251,14 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     some = sketch.where("n > 0 and doc_id is not null")
     reps = materialize(some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "classes")
     loose = connected_components(candidate_edges(reps, num, den))
-    members = materialize(loose.join(reps.select(F.col("rep").alias("id"), "n", "d1"), "id"), "members")
+    members = materialize(loose.join(reps.select(F.col("rep").alias("id"), "n", "d1").hint("merge"), "id"), "members")
     links = connected_components(exact_links(docs, members, k, num, den))
     classes = reps.select("d1", "d2", F.col("n").alias("n2"), "rep").join(links.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n2", F.coalesce("label", "rep").alias("component"))
-    out = sketch.join(classes, (sketch.d1 == classes.d1) & (sketch.d2 == classes.d2) & (sketch.n == classes.n2), "left")
+    out = sketch.join(classes.hint("merge"), (sketch.d1 == classes.d1) & (sketch.d2 == classes.d2) & (sketch.n == classes.n2), "left")
     return out.select(sketch.doc_id, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents that are their component's smallest id; equal rows stay once."""
     joined = ngram_join(docs, k, num, den).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(joined, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(joined.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
