@@ -367,10 +367,10 @@ def without_copies(docs: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     twice = materialize(texts.groupBy("version", check).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copies")
     bits = bitmap(twice.withColumnRenamed("version", "m"))
     some = materialize(in_bitmap(texts, bits, True).withColumn("check", check), "repeated")
-    ids = some.select("doc_id", "version", "check", F.octet_length("text").cast("long").alias("size")).join(twice, ["version", "check"], "left")
+    ids = some.select("doc_id", "version", "check", F.octet_length("text").cast("long").alias("size")).join(twice.hint("merge"), ["version", "check"], "left")
     ids = materialize(ids.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("first"), F.lit(True))), "ids")
     firsts = ids.where("kept").select("doc_id", "version", "check").distinct()
-    kept = some.join(firsts, ["doc_id", "version", "check"], "left_semi").dropDuplicates(["doc_id", "version", "check"]).select("doc_id", "version", "text")
+    kept = some.join(firsts.hint("merge"), ["doc_id", "version", "check"], "left_semi").dropDuplicates(["doc_id", "version", "check"]).select("doc_id", "version", "text")
     later = ids.where("not kept").select("doc_id", "version", F.lit(0).cast("long").alias("at"), "size").distinct()
     return [in_bitmap(texts, bits, False), materialize(kept, "firsts")], later
 
@@ -400,7 +400,7 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and, asked for, text)."""
     spans = repeated_spans(docs).withColumnRenamed("doc_id", "of").withColumnRenamed("version", "what")
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("version"))
-    both = chosen.join(spans, (chosen.doc_id == spans.of) & (chosen.version == spans.what), "left").select("doc_id", "text", F.col("spans.at").alias("at"), F.col("spans.size").alias("size"))
+    both = chosen.join(spans.hint("merge"), (chosen.doc_id == spans.of) & (chosen.version == spans.what), "left").select("doc_id", "text", F.col("spans.at").alias("at"), F.col("spans.size").alias("size"))
     schema = SCHEMA + ", text string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
