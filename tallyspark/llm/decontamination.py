@@ -33,6 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tallyspark.llm import textkernel as tk
+from tallyspark.llm.shared import tidied
 
 SKETCH = 64
 MISS = 1e-9
@@ -142,7 +143,7 @@ def search(docs: DataFrame, items: list[tuple[int, str]], k: int, num: int, den:
             shared = np.array([n for _, _, n in found], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([numbers.take(pa.array(rows, pa.int64())), pa.array(ids[item], pa.int64()), pa.array(shared), pa.array(sizes[item], pa.int64()), pa.array(np.round(shared / np.maximum(sizes[item], 1), 6), pa.float64())], ["doc_id", "item_id", "n_shared", "n_item", "containment"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lambda rows: tidied(run(rows)), SCHEMA)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

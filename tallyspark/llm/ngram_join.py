@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyspark.llm import textkernel as tk
 from tallyspark.llm.components import connected_components
-from tallyspark.llm.shared import binaries, column, dealt, groups, lists, materialize, matrix
+from tallyspark.llm.shared import binaries, column, dealt, groups, lists, materialize, matrix, tidied
 
 KEYS = 16
 BITS = 2048
@@ -72,7 +72,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 ["doc_id", "n", "d1", "d2", "keys", "bits"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>, bits binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda rows: tidied(run(rows)), "doc_id long, n long, d1 long, d2 long, keys array<long>, bits binary")
 
 
 def signature(own: np.ndarray) -> np.ndarray:
@@ -155,7 +155,7 @@ def candidate_edges(reps: DataFrame, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     sorted_ = dealt(posts, "key", "left", "right").sortWithinPartitions("key", "left", "right", "n", "rep")
-    return sorted_.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return sorted_.mapInArrow(lambda rows: tidied(run(rows)), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def split(rows: DataFrame, id_col: str, blocks: F.col) -> DataFrame:
@@ -223,7 +223,7 @@ def exact_links(docs: DataFrame, members: DataFrame, k: int, num: int, den: int)
                 made = pa.RecordBatch.from_arrays([part.column(0), *part.columns[3:], pa.array([own.tobytes() for own in arrays], pa.binary())], ["id", "label", "n", "blocks", "shingles"])
                 yield made.filter(meant)
 
-    arrays = texts.select("id", "text", "d1", "label", "n", "blocks").mapInArrow(shingled, "id long, label long, n long, blocks int, shingles binary")
+    arrays = texts.select("id", "text", "d1", "label", "n", "blocks").mapInArrow(lambda rows: tidied(shingled(rows)), "id long, label long, n long, blocks int, shingles binary")
     arrays = split(arrays, "id", F.col("blocks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +241,7 @@ def exact_links(docs: DataFrame, members: DataFrame, k: int, num: int, den: int)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     arrays = arrays.select("label", "left", "right", "n", "id", "side", "shingles")
-    return dealt(arrays, "label", "left", "right").sortWithinPartitions("label", "left", "right", "n", "id").mapInArrow(run, "a long, b long")
+    return dealt(arrays, "label", "left", "right").sortWithinPartitions("label", "left", "right", "n", "id").mapInArrow(lambda rows: tidied(run(rows)), "a long, b long")
 
 
 def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyspark.llm import textkernel as tk
-from tallyspark.llm.shared import dealt, materialize
+from tallyspark.llm.shared import dealt, materialize, tidied
 
 LENGTH, GRAM = 50, 16
 #: Fixed bounds: bits of the broadcast bitmap; bytes of a suffix array; windows of a stretch.
@@ -75,12 +75,15 @@ def minima(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, inside
 
 
-def anchors(texts: DataFrame) -> DataFrame:
-    """(m): each text's distinct minima."""
+def anchors(texts: DataFrame, but: np.ndarray) -> DataFrame:
+    """(m): each text's distinct minima; without the texts whose version is in the bitmap."""
+    shipped = texts.sparkSession.sparkContext.broadcast(but)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        but = shipped.value
         for batch in batches:
-            for _, _, data, offsets in tk.chunks(batch.column(0)):
+            batch = batch.filter(pa.array(~has_bit(but, batch.column(0).to_numpy())))
+            for _, _, data, offsets in tk.chunks(batch.column(1)):
                 m, inside = minima(data, offsets)
                 out = []
                 for a, b in zip(offsets[:-1], offsets[1:]):
@@ -91,7 +94,7 @@ def anchors(texts: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["m"])
 
-    return texts.select("text").mapInArrow(run, "m long")
+    return texts.select("version", "text").mapInArrow(lambda rows: tidied(run(rows)), "m long")
 
 
 def bitmap(shared: DataFrame) -> np.ndarray:
@@ -106,20 +109,20 @@ def bitmap(shared: DataFrame) -> np.ndarray:
     return out
 
 
-def stretches(texts: DataFrame, bits: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """(m, salt, doc_id, version, at, bytes): runs of strings with one shared minimum."""
-    shipped = texts.sparkSession.sparkContext.broadcast((bits, hot))
+def stretches(texts: DataFrame, but: np.ndarray, bits: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """(m, salt, doc_id, version, at, bytes): runs of strings with one shared minimum; without the
+    texts whose version is in the bitmap `but`."""
+    shipped = texts.sparkSession.sparkContext.broadcast((but, bits, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hot = shipped.value
-        mask = np.uint64((1 << BITMAP_BITS) - 1)
+        but, bits, hot = shipped.value
         for batch in batches:
+            batch = batch.filter(pa.array(~has_bit(but, batch.column(1).to_numpy())))
             ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for first, _, data, offsets in tk.chunks(batch.column(2)):
                 m, inside = minima(data, offsets)
                 starts = np.flatnonzero(inside)
-                place = m[starts] & mask
-                starts = starts[bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0]
+                starts = starts[has_bit(bits, m[starts])]
                 if not len(starts):
                     continue
                 value = m[starts]
@@ -144,7 +147,7 @@ def stretches(texts: DataFrame, bits: np.ndarray, hot: np.ndarray) -> DataFrame:
                 salt = np.where(salted, tk.seeded(owner.astype(np.int64).view(np.uint64), 3) % np.uint64(SALTS) + np.uint64(1), 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt), pa.array(owner), pa.array(versions[first + text]), pa.array(begin - offsets[text]), rows], ["m", "salt", "doc_id", "version", "at", "bytes"])
 
-    return texts.select("doc_id", "version", "text").mapInArrow(run, "m long, salt int, doc_id long, version long, at long, bytes binary")
+    return texts.select("doc_id", "version", "text").mapInArrow(lambda rows: tidied(run(rows)), "m long, salt int, doc_id long, version long, at long, bytes binary")
 
 
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -310,7 +313,7 @@ def sharded(pieces: DataFrame) -> DataFrame:
                 kept = pa.array([flat[cut[r] + b : cut[r] + e + LENGTH - 1].tobytes() for r, b, e in zip(row, begin, end)], pa.binary())
                 yield span_batch(table, row, begin, end, kept)
 
-    return dealt(pieces, "m", "salt").sortWithinPartitions("m", "salt", "doc_id", "at").mapInArrow(run, SPANS)
+    return dealt(pieces, "m", "salt").sortWithinPartitions("m", "salt", "doc_id", "at").mapInArrow(lambda rows: tidied(run(rows)), SPANS)
 
 
 def merged(pieces: DataFrame) -> DataFrame:
@@ -339,26 +342,18 @@ def merged(pieces: DataFrame) -> DataFrame:
                 yield span_batch(table, row, begin, end)
 
     ready = pieces.select("m", "salt", "doc_id", "version", "at", "bytes")
-    return dealt(ready, "m").sortWithinPartitions("m", "doc_id", "at").mapInArrow(run, SPANS)
+    return dealt(ready, "m").sortWithinPartitions("m", "doc_id", "at").mapInArrow(lambda rows: tidied(run(rows)), SPANS)
 
 
-def in_bitmap(texts: DataFrame, bits: np.ndarray, wanted: bool) -> DataFrame:
-    """The rows whose version is, or is not, in the bitmap."""
-    shipped = texts.sparkSession.sparkContext.broadcast(bits)
-    at = texts.columns.index("version")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shipped.value
-        for batch in batches:
-            place = (batch.column(at).to_numpy() & ((1 << BITMAP_BITS) - 1)).astype(np.int64)
-            yield batch.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0) == wanted))
-
-    return texts.mapInArrow(run, texts.schema)
+def has_bit(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    place = (values.view(np.int64) & ((1 << BITMAP_BITS) - 1)).astype(np.int64)
+    return bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0
 
 
-def without_copies(docs: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Texts (doc_id, version, text), each distinct one once, under its smallest id; and the
-    other copies (doc_id, version, at, size), which go whole.
+def without_copies(docs: DataFrame) -> tuple[list[tuple[DataFrame, np.ndarray]], DataFrame]:
+    """Texts (doc_id, version, text), each distinct one once, under its smallest id: all with
+    the bitmap of those to leave out, and the firsts of those. And the other copies
+    (doc_id, version, at, size), which go whole.
 
     Only the rows whose hash is in a bitmap of the repeated hashes are shuffled.
     """
@@ -366,13 +361,21 @@ def without_copies(docs: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     check = F.xxhash64(F.lit(1), F.col("text")).alias("check")
     twice = materialize(texts.groupBy("version", check).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copies")
     bits = bitmap(twice.withColumnRenamed("version", "m"))
-    some = materialize(in_bitmap(texts, bits, True).withColumn("check", check), "repeated")
+    shipped = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shipped.value
+        for batch in batches:
+            yield batch.filter(pa.array(has_bit(bits, batch.column(1).to_numpy())))
+
+    some = texts.withColumn("check", check)
+    some = materialize(some.mapInArrow(lambda rows: tidied(run(rows)), some.schema), "repeated")
     ids = some.select("doc_id", "version", "check", F.octet_length("text").cast("long").alias("size")).join(twice.hint("merge"), ["version", "check"], "left")
     ids = materialize(ids.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("first"), F.lit(True))), "ids")
     firsts = ids.where("kept").select("doc_id", "version", "check").distinct()
     kept = some.join(firsts.hint("merge"), ["doc_id", "version", "check"], "left_semi").dropDuplicates(["doc_id", "version", "check"]).select("doc_id", "version", "text")
     later = ids.where("not kept").select("doc_id", "version", F.lit(0).cast("long").alias("at"), "size").distinct()
-    return [in_bitmap(texts, bits, False), materialize(kept, "firsts")], later
+    return [(texts, bits), (materialize(kept, "firsts"), np.zeros_like(bits))], later
 
 
 def united(parts: list[DataFrame]) -> DataFrame:
@@ -385,10 +388,10 @@ def united(parts: list[DataFrame]) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, version, spans): what to remove; version is the text's hash, as ids may repeat."""
     texts, copies = without_copies(docs)
-    shared = materialize(united([anchors(t) for t in texts]).groupBy("m").agg(F.count("*").alias("n")).where("n > 1"), "minima")
+    shared = materialize(united([anchors(*t) for t in texts]).groupBy("m").agg(F.count("*").alias("n")).where("n > 1"), "minima")
     hot = np.array([r.m for r in shared.where(F.col("n") > HOT).orderBy(F.desc("n"), "m").limit(HOT_KEYS).collect()], dtype=np.int64)
     bits = bitmap(shared)
-    found = materialize(sharded(united([stretches(t, bits, hot) for t in texts])), "spans")
+    found = materialize(sharded(united([stretches(*t, bits, hot) for t in texts])), "spans")
     parts = [copies, found.where("bytes is null").select(*copies.columns)]
     if len(hot):
         parts.append(merged(found.where("bytes is not null")).select(*copies.columns))
@@ -426,4 +429,4 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
             arrays = [batch.column(0), pa.array(n_bytes), pa.array(removed), pa.array(spans), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(texts, pa.string())] * with_text, [c.split()[0] for c in schema.split(", ")])
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(lambda rows: tidied(run(rows)), schema)
