@@ -101,6 +101,29 @@ def group_starts(whole: pa.Table, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(change), whole.num_rows)
 
 
+def bitmap(values: DataFrame, name: str, bits: int) -> np.ndarray:
+    """One bit for the low `bits` bits of each value of a long column, in an array of fixed size.
+
+    Values are dealt by bucket before they are set, as a partial bitmap of every task and bucket would be
+    far larger than the values.
+    """
+    # Spark numbers a bitmap's places from 1
+    place = F.col(name).bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    placed = values.select(F.bitmap_bucket_number(place).alias("b"), F.bitmap_bit_position(place).alias("p"))
+    parts = dealt(placed, "b").groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
+    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for row in parts.collect():
+        part = np.frombuffer(bytes(row.bits), dtype=np.uint8)[: len(out)]
+        out[(row.b - 1) * 4096 : (row.b - 1) * 4096 + len(part)] |= part
+    return out
+
+
+def has_bit(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit values have their bit set in a bitmap."""
+    place = (values.view(np.int64) & (len(bits) * 8 - 1)).astype(np.int64)
+    return bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0
+
+
 def tidied(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows; then the worker, which is used again, gives freed memory back to the system."""
     yield from rows

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyspark.llm import textkernel as tk
-from tallyspark.llm.shared import dealt, materialize, tidied
+from tallyspark.llm.shared import bitmap, dealt, has_bit, materialize, tidied
 
 LENGTH, GRAM = 50, 16
 #: Fixed bounds: bits of the broadcast bitmap; bytes of a suffix array; windows of a stretch.
@@ -97,18 +97,6 @@ def anchors(texts: DataFrame, but: np.ndarray) -> DataFrame:
     return texts.select("version", "text").mapInArrow(lambda rows: tidied(run(rows)), "m long")
 
 
-def bitmap(shared: DataFrame) -> np.ndarray:
-    """Of all shared minima, one bit each, in an array of fixed size (16 MB)."""
-    # Spark numbers a bitmap's places from 1
-    place = F.col("m").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)) + 1
-    parts = shared.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    out = np.zeros((1 << BITMAP_BITS) // 8, dtype=np.uint8)
-    for row in parts.toLocalIterator():
-        part = np.frombuffer(bytes(row.bits), dtype=np.uint8)
-        out[(row.b - 1) * 4096 : (row.b - 1) * 4096 + len(part)] |= part
-    return out
-
-
 def stretches(texts: DataFrame, but: np.ndarray, bits: np.ndarray, hot: np.ndarray) -> DataFrame:
     """(m, salt, doc_id, version, at, bytes): runs of strings with one shared minimum; without the
     texts whose version is in the bitmap `but`."""
@@ -345,11 +333,6 @@ def merged(pieces: DataFrame) -> DataFrame:
     return dealt(ready, "m").sortWithinPartitions("m", "doc_id", "at").mapInArrow(lambda rows: tidied(run(rows)), SPANS)
 
 
-def has_bit(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    place = (values.view(np.int64) & ((1 << BITMAP_BITS) - 1)).astype(np.int64)
-    return bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0
-
-
 def without_copies(docs: DataFrame) -> tuple[list[tuple[DataFrame, np.ndarray]], DataFrame]:
     """Texts (doc_id, version, text), each distinct one once, under its smallest id: all with
     the bitmap of those to leave out, and the firsts of those. And the other copies
@@ -360,7 +343,7 @@ def without_copies(docs: DataFrame) -> tuple[list[tuple[DataFrame, np.ndarray]],
     texts = docs.where(F.octet_length("text") >= LENGTH).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
     check = F.xxhash64(F.lit(1), F.col("text")).alias("check")
     twice = materialize(texts.groupBy("version", check).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copies")
-    bits = bitmap(twice.withColumnRenamed("version", "m"))
+    bits = bitmap(twice, "version", BITMAP_BITS)
     shipped = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,7 +373,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts, copies = without_copies(docs)
     shared = materialize(united([anchors(*t) for t in texts]).groupBy("m").agg(F.count("*").alias("n")).where("n > 1"), "minima")
     hot = np.array([r.m for r in shared.where(F.col("n") > HOT).orderBy(F.desc("n"), "m").limit(HOT_KEYS).collect()], dtype=np.int64)
-    bits = bitmap(shared)
+    bits = bitmap(shared, "m", BITMAP_BITS)
     found = materialize(sharded(united([stretches(*t, bits, hot) for t in texts])), "spans")
     parts = [copies, found.where("bytes is null").select(*copies.columns)]
     if len(hot):
