@@ -23,20 +23,32 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 SAME = np.arange(256, dtype=np.uint8)
 
-_powers: list[np.ndarray] = []
+
+class Memo:
+    """What a process has computed; it doesn't travel to other ones."""
+
+    def __init__(self) -> None:
+        self.arrays: list[np.ndarray] = []
+
+    def __reduce__(self):
+        return Memo, ()
+
+
+_powers = Memo()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i for i < n, modulo 2^64."""
-    if not _powers or len(_powers[0]) < n:
+    kept = _powers.arrays
+    if not kept or len(kept[0]) < n:
         size = max(n, CHUNK + (CHUNK >> 2))
-        _powers.clear()
+        kept.clear()
         with np.errstate(over="ignore"):
             for b in (BASE, INVERSE):
                 a = np.full(size, b, dtype=np.uint64)
                 a[0] = 1
-                _powers.append(np.cumprod(a))
-    return _powers[0][:n], _powers[1][:n]
+                kept.append(np.cumprod(a))
+    return kept[0][:n], kept[1][:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
