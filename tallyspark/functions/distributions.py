@@ -7,7 +7,6 @@ cumulative probabilities.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cache
 from math import exp, log
 
 import numpy as np
@@ -104,7 +103,6 @@ class LogBucket(Distribution):
         return weights / weights.sum()
 
 
-@cache
 def known_probabilities(distribution: Distribution) -> np.ndarray:
     return distribution.probabilities()
 

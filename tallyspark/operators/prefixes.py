@@ -38,7 +38,7 @@ def level_reach(df: DataFrame, max_frequency: int) -> DataFrame:
     upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     counts = counts.withColumn("upto", F.least(upto, F.lit(max_frequency))).withColumn("before", F.coalesce(F.lag("upto").over(order), F.lit(0)))
     # each id reaches each level at one set
-    reached = counts.where("upto > before").select("run_index", F.col("set_index").alias("num_sets"), F.explode(F.sequence(F.col("before") + 1, F.col("upto"))).cast("int").alias("frequency_level"))
+    reached = counts.where("upto > before").select("run_index", F.col("set_index").alias("num_sets"), F.explode(F.sequence((F.col("before") + 1).cast("int"), F.col("upto").cast("int"))).alias("frequency_level"))
     per_set = reached.groupBy("run_index", "num_sets", "frequency_level").agg(F.count("*").alias("cardinality"))
     grid = set_grid(df).withColumn("frequency_level", F.explode(F.sequence(F.lit(1), F.lit(max_frequency))))
     return running(per_set, grid, ["cardinality"], "frequency_level")
