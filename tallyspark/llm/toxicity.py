@@ -26,10 +26,10 @@ WINDOW, STRIDE = 12, 6
 GRAMS = (3, 4, 5, 6)
 TABLE_BITS = 19
 DIMENSION = 6
-#: Bounds of the training sample: labelled documents of each class, and words of a document.
-SAMPLE, SAMPLE_WORDS = 2500, 1200
+#: Bounds of the training sample: labelled documents of each class, and characters of a document.
+SAMPLE, SAMPLE_CHARS = 2500, 6000
 RARE = 0.004
-EPOCHS, RATE = 3, 0.01
+EPOCHS, RATE, BATCH = 3, 0.01, 12
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -135,8 +135,8 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 7) -> M
     share = max(1e-3, min(1 - 1e-3, float(toxic.mean())))
     for _ in range(EPOCHS):
         rng.shuffle(order)
-        for at in range(0, len(order), 32):
-            own = order[at : at + 32]
+        for at in range(0, len(order), BATCH):
+            own = order[at : at + BATCH]
             data, offsets = tk.raw(pa.array([texts[i] for i in own], pa.string()))
             padded, starts, ends, firsts = word_grams(data, offsets)
             a, b, first = windows(firsts)
@@ -233,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1) -> Mod
     known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(fold)) != held)
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     sample = known.where("toxic = 1").orderBy(*order).limit(SAMPLE).unionAll(known.where("toxic = 0").orderBy(*order).limit(SAMPLE))
-    head = F.regexp_extract("text", r"^\s*(?:\S+\s*){0,%d}" % SAMPLE_WORDS, 0)
+    head = F.substring("text", 1, SAMPLE_CHARS)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", head.alias("text"), "toxic").where("text is not null").orderBy("doc_id", "text").collect()
     toxic = np.array([r.toxic for r in rows])
     if len(set(toxic.tolist())) < 2:
