@@ -77,8 +77,9 @@ class FilterAlgebra:
 
     def hit(self, cardinality: float, probabilities: np.ndarray | None = None) -> np.ndarray:
         p = known_probabilities(self.distribution) if probabilities is None else probabilities
-        # an estimate from noised registers may be negative or undefined: then nobody is behind it
-        return 1 - np.power(1 - p, max(0.0, float(np.nan_to_num(cardinality, posinf=1e15))))
+        # an estimate from noised registers may be undefined: then nobody is behind it; negative ones count
+        with np.errstate(all="ignore"):
+            return 1 - np.power(1 - p, cardinality if np.isfinite(cardinality) else 0.0)
 
     def overlaps(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x, y, common = self.venn(a, b)
