@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from tallyspark.llm import textkernel as tk
@@ -40,6 +41,7 @@ from tallyspark.llm.shared import bitmap, dealt, has_bit, materialize, tidied
 LENGTH, GRAM = 50, 16
 #: Fixed bounds: bits of the broadcast bitmap; bytes of a suffix array; windows of a stretch.
 BITMAP_BITS, SHARD_BYTES, STRETCH = 27, 1 << 19, 4096
+COPY_BITS = 24
 #: A minimum is salted if over HOT documents have it and it is among the HOT_KEYS most frequent.
 HOT, HOT_KEYS, SALTS = 2000, 4096, 16
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -75,14 +77,13 @@ def minima(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, inside
 
 
-def anchors(texts: DataFrame, but: np.ndarray) -> DataFrame:
+def anchors(texts: DataFrame, but: Broadcast | None) -> DataFrame:
     """(m): each text's distinct minima; without the texts whose version is in the bitmap."""
-    shipped = texts.sparkSession.sparkContext.broadcast(but)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        but = shipped.value
         for batch in batches:
-            batch = batch.filter(pa.array(~has_bit(but, batch.column(0).to_numpy())))
+            if but:
+                batch = batch.filter(pa.array(~has_bit(but.value, batch.column(0).to_numpy())))
             for _, _, data, offsets in tk.chunks(batch.column(1)):
                 m, inside = minima(data, offsets)
                 out = []
@@ -97,15 +98,15 @@ def anchors(texts: DataFrame, but: np.ndarray) -> DataFrame:
     return texts.select("version", "text").mapInArrow(lambda rows: tidied(run(rows)), "m long")
 
 
-def stretches(texts: DataFrame, but: np.ndarray, bits: np.ndarray, hot: np.ndarray) -> DataFrame:
+def stretches(texts: DataFrame, but: Broadcast | None, shared: Broadcast, hot: np.ndarray) -> DataFrame:
     """(m, salt, doc_id, version, at, bytes): runs of strings with one shared minimum; without the
     texts whose version is in the bitmap `but`."""
-    shipped = texts.sparkSession.sparkContext.broadcast((but, bits, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        but, bits, hot = shipped.value
+        bits = shared.value
         for batch in batches:
-            batch = batch.filter(pa.array(~has_bit(but, batch.column(1).to_numpy())))
+            if but:
+                batch = batch.filter(pa.array(~has_bit(but.value, batch.column(1).to_numpy())))
             ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for first, _, data, offsets in tk.chunks(batch.column(2)):
                 m, inside = minima(data, offsets)
@@ -333,7 +334,7 @@ def merged(pieces: DataFrame) -> DataFrame:
     return dealt(ready, "m").sortWithinPartitions("m", "doc_id", "at").mapInArrow(lambda rows: tidied(run(rows)), SPANS)
 
 
-def without_copies(docs: DataFrame) -> tuple[list[tuple[DataFrame, np.ndarray]], DataFrame]:
+def without_copies(docs: DataFrame) -> tuple[list[tuple[DataFrame, Broadcast | None]], DataFrame]:
     """Texts (doc_id, version, text), each distinct one once, under its smallest id: all with
     the bitmap of those to leave out, and the firsts of those. And the other copies
     (doc_id, version, at, size), which go whole.
@@ -343,8 +344,7 @@ def without_copies(docs: DataFrame) -> tuple[list[tuple[DataFrame, np.ndarray]],
     texts = docs.where(F.octet_length("text") >= LENGTH).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
     check = F.xxhash64(F.lit(1), F.col("text")).alias("check")
     twice = materialize(texts.groupBy("version", check).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copies")
-    bits = bitmap(twice, "version", BITMAP_BITS)
-    shipped = docs.sparkSession.sparkContext.broadcast(bits)
+    shipped = docs.sparkSession.sparkContext.broadcast(bitmap(twice, "version", COPY_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shipped.value
@@ -358,7 +358,7 @@ def without_copies(docs: DataFrame) -> tuple[list[tuple[DataFrame, np.ndarray]],
     firsts = ids.where("kept").select("doc_id", "version", "check").distinct()
     kept = some.join(firsts.hint("merge"), ["doc_id", "version", "check"], "left_semi").dropDuplicates(["doc_id", "version", "check"]).select("doc_id", "version", "text")
     later = ids.where("not kept").select("doc_id", "version", F.lit(0).cast("long").alias("at"), "size").distinct()
-    return [(texts, bits), (materialize(kept, "firsts"), np.zeros_like(bits))], later
+    return [(texts, shipped), (materialize(kept, "firsts"), None)], later
 
 
 def united(parts: list[DataFrame]) -> DataFrame:
@@ -373,7 +373,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts, copies = without_copies(docs)
     shared = materialize(united([anchors(*t) for t in texts]).groupBy("m").agg(F.count("*").alias("n")).where("n > 1"), "minima")
     hot = np.array([r.m for r in shared.where(F.col("n") > HOT).orderBy(F.desc("n"), "m").limit(HOT_KEYS).collect()], dtype=np.int64)
-    bits = bitmap(shared, "m", BITMAP_BITS)
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(shared, "m", BITMAP_BITS))
     found = materialize(sharded(united([stretches(*t, bits, hot) for t in texts])), "spans")
     parts = [copies, found.where("bytes is null").select(*copies.columns)]
     if len(hot):
