@@ -32,7 +32,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     """(source, source_size, weight, slope, target) from (source, size).
 
     The sources are a small aggregate; sorted by cap over weight, those that
-    reach their cap come first, and the first that does not sets the level.
+    reach their cap come first, and the first that does not sets the level; those after it, which
+    subtract caps that aren't reached, find a lower one.
     """
     by = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
@@ -46,7 +47,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     all_ = Window.partitionBy()
     level = (F.sum("source_size").over(all_).cast("double") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
     by = by.withColumn("level", level).withColumn("open", F.col("most") > F.col("level") * F.col("weight"))
-    by = by.withColumn("level", F.min_by(F.when(F.col("open"), F.col("level")), F.when(F.col("open"), F.col("most") / F.col("weight"))).over(all_))
+    by = by.withColumn("level", F.max(F.when(F.col("open"), F.col("level"))).over(all_))
     target = F.when(F.col("level").isNull(), F.col("most")).otherwise(F.least("most", F.col("level") * F.col("weight")))
     return by.select("source", "source_size", "weight", "slope", F.round(target, 6).alias("target"))
 
@@ -57,8 +58,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) ->
     taken counts words: every whole pass over the source counts the document's
     size, and the last pass ends where the source's target is reached, if need
     be within a document, so that a source's sum is its rounded target. position
-    (0 to 1) is the point of training at which the document is first read; rows
-    are range-sorted by it.
+    (0 to 1) is the point of training at which the document is first read, null if it isn't;
+    rows are range-sorted by it.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)), 1, 15), 16, 10).cast("long")
@@ -83,5 +84,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) ->
     x = F.least(F.lit(1.0), F.when(F.col("target") > 0, F.col("before") / F.greatest("target", F.lit(1e-9))).otherwise(F.lit(0.0)))
     a = F.col("slope")
     t = F.when(a == 0, x).otherwise((F.sqrt((1 - a) * (1 - a) + 4 * a * x) - (1 - a)) / F.when(a == 0, F.lit(1.0)).otherwise(2 * a))
-    out = ran.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", F.round(t, 9).alias("position"))
-    return out.repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id")
+    out = ran.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", F.when(F.col("taken") > 0, F.round(t, 9)).alias("position"))
+    order = F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last()
+    return out.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -255,7 +255,7 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     links = connected_components(exact_links(docs, members, k, num, den))
     classes = reps.select("d1", "d2", F.col("n").alias("n2"), "rep").join(links.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n2", F.coalesce("label", "rep").alias("component"))
     out = sketch.join(classes.hint("merge"), (sketch.d1 == classes.d1) & (sketch.d2 == classes.d2) & (sketch.n == classes.n2), "left")
-    return out.select(sketch.doc_id, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select(sketch.doc_id, F.col("n").alias("n_shingles"), F.when(sketch.doc_id.isNotNull() & (F.col("n") > 0), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

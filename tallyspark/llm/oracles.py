@@ -76,8 +76,7 @@ WITH sized AS (
 ), targets AS (
   SELECT source, source_size, slope,
     round(CASE WHEN lv IS NULL THEN most ELSE least(most, lv * weight) END, 6) AS target
-  FROM (SELECT *, arg_min(CASE WHEN most > level * weight THEN level END, most / weight)
-          FILTER (WHERE most > level * weight) OVER () AS lv FROM levels)
+  FROM (SELECT *, max(level) FILTER (WHERE most > level * weight) OVER () AS lv FROM levels)
 ), ran AS (
   SELECT s.doc_id, s.size, s.source, t.source_size, t.target, t.slope,
     sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size AS before,
@@ -92,7 +91,7 @@ WITH sized AS (
 )
 SELECT doc_id, size, source_size, target, taken, source,
   (CASE WHEN size > 0 THEN ceil(taken / size) ELSE 0 END)::BIGINT AS copies,
-  round(CASE WHEN slope = 0 THEN x ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * x) - (1 - slope)) / (2 * slope) END, 9) + 0.0::DOUBLE AS position
+  CASE WHEN taken > 0 THEN round(CASE WHEN slope = 0 THEN x ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * x) - (1 - slope)) / (2 * slope) END, 9) + 0.0::DOUBLE END AS position
 FROM done
 """,
 }
