@@ -102,14 +102,15 @@ def group_starts(whole: pa.Table, keys: list[str]) -> np.ndarray:
 
 
 def bitmap(values: DataFrame, name: str, bits: int) -> np.ndarray:
-    """One bit for the low `bits` bits of each value of a long column, in an array of fixed size.
+    """A Bloom filter of a long column in an array of fixed size: two of 2^bits bits for each value.
 
-    Values are dealt by bucket before they are set, as a partial bitmap of every task and bucket would be
-    far larger than the values.
+    Places are dealt by bucket before they are set, as a partial bitmap of every task and bucket would be
+    far larger than the places.
     """
+    mask = F.lit((1 << bits) - 1)
     # Spark numbers a bitmap's places from 1
-    place = F.col(name).bitwiseAND(F.lit((1 << bits) - 1)) + 1
-    placed = values.select(F.bitmap_bucket_number(place).alias("b"), F.bitmap_bit_position(place).alias("p"))
+    both = F.explode(F.array(F.col(name).bitwiseAND(mask) + 1, F.shiftrightunsigned(name, bits).bitwiseAND(mask) + 1))
+    placed = values.select(both.alias("place")).select(F.bitmap_bucket_number("place").alias("b"), F.bitmap_bit_position("place").alias("p"))
     parts = dealt(placed, "b").groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
     out = np.zeros((1 << bits) // 8, dtype=np.uint8)
     for row in parts.collect():
@@ -119,9 +120,14 @@ def bitmap(values: DataFrame, name: str, bits: int) -> np.ndarray:
 
 
 def has_bit(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Which of the 64-bit values have their bit set in a bitmap."""
-    place = (values.view(np.int64) & (len(bits) * 8 - 1)).astype(np.int64)
-    return bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0
+    """Which of the 64-bit values may be in the filter."""
+    values = values.view(np.uint64)
+    mask, width = np.uint64(len(bits) * 8 - 1), np.uint64((len(bits) * 8 - 1).bit_length())
+    at = lambda place: bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0
+    out = at(values & mask)
+    some = np.flatnonzero(out)
+    out[some] = at(values[some] >> width & mask)
+    return out
 
 
 def tidied(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -172,7 +172,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, new: np.ndarray, depth: int, lane: int = 64) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, new: np.ndarray, depth: int, lane: int = 32) -> np.ndarray:
     """Of each entry of the suffix array, the bytes it shares with the one before, up to depth.
 
     Kasai's rule in lanes of neighbouring positions: all lanes step together, each
