@@ -25,7 +25,7 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 NEVER = frozenset("head script style noscript template svg math iframe object canvas audio video nav aside footer form button select textarea menu dialog input label".split())
 CONTAINERS = frozenset("article main section div body td blockquote".split())
 #: Words of a class, id or role that mark what isn't the article.
-ASIDE_WORDS = frozenset("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted promotion related recommended reply replies respond search share sharebar sharing sidebar signup social sponsor sponsored sponsors subscribe toolbar widget widgets contentinfo complementary alert form dialog toc".split())
+ASIDE_WORDS = frozenset("ad adbox adsbygoogle adslot ads adv advert advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted promotion related recommended reply replies respond search share sharebar sharing sidebar signup social sponsor sponsored sponsors subscribe toolbar widget widgets copyright cookiebar disclaimer login overlay paywall poll signin survey subscription contentinfo complementary alert form dialog toc".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPLIT = re.compile(r"[^a-z0-9]+")
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -36,7 +36,7 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.kinds: dict[int, str] = {}
         self.open: list[tuple[str, bool, int]] = []  # tag, hidden, container's number or 0
         self.hidden = self.number = self.tags = 0
@@ -48,7 +48,7 @@ class Lines(HTMLParser):
             text = " ".join("".join(self.parts).split())
             self.parts.clear()
             if text:
-                self.lines.append((text, self.tags, self.path))
+                self.lines.append((text, self.tags, self.path, any(t == "h1" for t, _, _ in self.open[-3:])))
                 self.tags = 0
 
     def inside_article(self) -> bool:
@@ -62,8 +62,11 @@ class Lines(HTMLParser):
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
-            if name in ("class", "id", "role") and value and not ASIDE_WORDS.isdisjoint(SPLIT.split(value.lower())):
-                return True
+            if name in ("class", "id", "role") and value:
+                found = ASIDE_WORDS.intersection(SPLIT.split(value.lower()))
+                # an article's own header holds its title
+                if found - ({"header"} if self.inside_article() else set()):
+                    return True
             if name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 return True
         return False
@@ -128,10 +131,10 @@ def extract(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    lengths = np.array([len(t) for t, _, _ in lines], dtype=np.float64)
-    chosen = content_lines(lengths, np.array([n for _, n, _ in lines], dtype=np.float64))
+    lengths = np.array([len(line[0]) for line in lines], dtype=np.float64)
+    chosen = content_lines(lengths, np.array([line[1] for line in lines], dtype=np.float64))
     weight: dict[int, float] = {}
-    for (_, _, path), size, on in zip(lines, lengths, chosen):
+    for (_, _, path, _), size, on in zip(lines, lengths, chosen):
         if on:
             for k in path:
                 weight[k] = weight.get(k, 0) + size
@@ -142,7 +145,9 @@ def extract(html: str | None) -> str:
         region = max(main, key=lambda k: (weight[k], k))
     else:
         region = max((k for k in weight if weight[k] >= 0.8 * total), default=0)
-    return "\n".join(t for t, _, path in lines if not region or region in path)
+    # a page's title often stands before the container of its text
+    first = next((i for i, line in enumerate(lines) if region in line[2]), 0)
+    return "\n".join(t for i, (t, _, path, title) in enumerate(lines) if not region or region in path or title and i < first)
 
 
 def html_text(pages: DataFrame) -> DataFrame:

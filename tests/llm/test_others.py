@@ -125,6 +125,19 @@ def test_html(spark):
     assert html_text.html_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<body><div id=top class='site-header'>Logo</div><h1>Title</h1><div id=content><p>One long paragraph of text here.</p><p>Two.</p></div><div class=sidebar>Side</div><div id=comments><p>A comment</p></div></body>", "Title\nOne long paragraph of text here.\nTwo."),
+        ("<main><div class='article-header'><h1>Title</h1></div><p>Text &nbsp; more</p><table><tr><td>a</td><td>b</td></tr></table><div class='share-bar'>Share</div></main><div class=popup>Hi</div>", "Title\nText more\na\nb"),
+        ("<article><h2>A</h2><blockquote>Q</blockquote><pre>x\n y</pre><p style='display: none'>hidden</p></article><article class=ad>x</article>", "A\nQ\nx y"),
+        ("<p>a<!-- no --> b <script>c</script><noscript>d</noscript>&#x41;&#66;</p>", "a b AB"),
+    ],
+)
+def test_html_regions(page, want):
+    assert html_text.extract(page) == want
+
+
 # ---- secrets -------------------------------------------------------------------------------
 
 
