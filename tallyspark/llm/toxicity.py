@@ -112,6 +112,12 @@ def odds(texts: list[str], toxic: np.ndarray) -> np.ndarray:
     return often * np.sign(lean) * np.maximum(0, np.abs(lean) - 1)
 
 
+def strongest_of(logit: np.ndarray, bias: float, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a list of texts, a chunk at a time."""
+    found = [strongest(logit, bias, data, offsets) for _, _, data, offsets in tk.chunks(pa.array(texts, pa.string()))]
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
 def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 7) -> Model:
     """Fit table and softmax on windows, from a start at each n-gram's log odds.
     Of a toxic text only its strongest window counts as toxic. A fifth of the
@@ -126,7 +132,7 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 7) -> M
     start = odds(texts, toxic)
     used = np.ones(size, dtype=bool)
     # stretched and shifted, so that the strongest windows start as a fitted softmax
-    top, made = strongest(start, 0.0, *tk.raw(pa.array(texts, pa.string())))
+    top, made = strongest_of(start, 0.0, texts)
     stretch = calibrate(top, made, toxic, prior)
     start = start * max(1.0, stretch[0])
     table = ((start[:, None] * slope[None, :] / DIMENSION + rng.normal(0, 0.01, (size, DIMENSION))) * used[:, None]).astype(np.float32)
@@ -185,7 +191,7 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 7) -> M
     logit = (table @ slope).astype(np.float32)
     if len(set(kept_toxic.tolist())) < 2:
         kept, kept_toxic = texts, toxic
-    top, made = strongest(logit, bias, *tk.raw(pa.array(kept, pa.string())))
+    top, made = strongest_of(logit, bias, kept)
     return logit, bias, calibrate(top, made, kept_toxic, prior)
 
 
