@@ -3,7 +3,7 @@
 A word is the bag of its byte n-grams (3 to 6, with word edges); n-grams are
 hashed to rows of one embedding table. The mean of a window's word vectors goes
 into a two-class softmax. Table and softmax are trained jointly in numpy. A
-text's score comes from its most toxic window of `WINDOW` words, so a few words
+text's score comes from its most toxic windows of `WINDOW` words, so a few words
 in a long text count. Unseen misspellings share n-grams with known words.
 
 Cases: a null or empty text has a score from the intercept alone; texts of any
@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyspark.llm import textkernel as tk
 
-WINDOW, STRIDE = 12, 6
-GRAMS = (3, 4, 5, 6)
+WINDOW, STRIDE, TOP = 12, 6, 4
+GRAMS = (3, 4, 5, 6, 8)
 TABLE_BITS = 19
 DIMENSION = 6
 #: Bounds of the training sample: labelled documents of each class, and characters of a document.
@@ -35,7 +35,7 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 #: A plain tuple, so that a broadcast needs no class on the workers: each n-gram row's logit (its
 #: embedding times the softmax's difference), the bias, and the calibration (weights of the
-#: strongest window, of the logarithm of the number of windows, and of 1).
+#: strongest window, of the strongest few, of the logarithm of the number of windows, and of 1).
 Model = tuple[np.ndarray, float, np.ndarray]
 
 
@@ -73,8 +73,8 @@ def windows(firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, np.minimum(start + WINDOW, firsts[text + 1]), first
 
 
-def strongest(model_logit: np.ndarray, bias: float, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per text the largest window logit, and the number of windows."""
+def strongest(model_logit: np.ndarray, bias: float, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text the largest window logit, the mean of the TOP largest, and the number of windows."""
     padded, starts, ends, firsts = word_grams(data, offsets)
     total, count = np.zeros(len(starts)), np.zeros(len(starts))
     for n in GRAMS:
@@ -86,11 +86,16 @@ def strongest(model_logit: np.ndarray, bias: float, data: np.ndarray, offsets: n
     a, b, first = windows(firsts)
     value = bias + (word[b] - word[a]) / np.maximum(b - a, 1)
     made = np.diff(first)
+    text = np.repeat(np.arange(len(made)), made)
+    order = np.lexsort((-value, text))
+    rank = np.arange(len(value)) - first[text]
+    best = order[rank < TOP]
+    count = np.minimum(made, TOP)
+    # windows that a short text lacks count as plain ones
+    few = (np.bincount(text[best], value[best], minlength=len(made)) + (TOP - count) * bias) / TOP
     top = np.full(len(made), bias)
-    if len(value):
-        some = made > 0
-        top[some] = np.maximum.reduceat(value, first[:-1][some])
-    return top, made
+    top[made > 0] = value[order[first[:-1][made > 0]]]
+    return top, few, made
 
 
 def odds(texts: list[str], toxic: np.ndarray) -> np.ndarray:
@@ -112,10 +117,10 @@ def odds(texts: list[str], toxic: np.ndarray) -> np.ndarray:
     return often * np.sign(lean) * np.maximum(0, np.abs(lean) - 1)
 
 
-def strongest_of(logit: np.ndarray, bias: float, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def strongest_of(logit: np.ndarray, bias: float, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same for a list of texts, a chunk at a time."""
     found = [strongest(logit, bias, data, offsets) for _, _, data, offsets in tk.chunks(pa.array(texts, pa.string()))]
-    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 7) -> Model:
@@ -132,11 +137,11 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 7) -> M
     start = odds(texts, toxic)
     used = np.ones(size, dtype=bool)
     # stretched and shifted, so that the strongest windows start as a fitted softmax
-    top, made = strongest_of(start, 0.0, texts)
-    stretch = calibrate(top, made, toxic, prior)
+    top, few, made = strongest_of(start, 0.0, texts)
+    stretch = calibrate(top, np.zeros(len(top)), made, toxic, prior)
     start = start * max(1.0, stretch[0])
     table = ((start[:, None] * slope[None, :] / DIMENSION + rng.normal(0, 0.01, (size, DIMENSION))) * used[:, None]).astype(np.float32)
-    seen, slope_seen, bias, bias_seen = np.full((size, DIMENSION), 1e-6, np.float32), np.full(DIMENSION, 1e-6, np.float32), float(stretch[2]), 1e-6
+    seen, slope_seen, bias, bias_seen = np.full((size, DIMENSION), 1e-6, np.float32), np.full(DIMENSION, 1e-6, np.float32), float(stretch[3]), 1e-6
     order = np.arange(len(texts))
     share = max(1e-3, min(1 - 1e-3, float(toxic.mean())))
     for _ in range(EPOCHS):
@@ -189,10 +194,9 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 7) -> M
             bias_seen += g * g
             bias -= 0.1 * g / bias_seen**0.5
     logit = (table @ slope).astype(np.float32)
-    if len(set(kept_toxic.tolist())) < 2:
-        kept, kept_toxic = texts, toxic
-    top, made = strongest_of(logit, bias, kept)
-    return logit, bias, calibrate(top, made, kept_toxic, prior)
+    if min(np.bincount(kept_toxic, minlength=2)) < 20:
+        kept, kept_toxic = texts + kept, np.concatenate([toxic, kept_toxic])
+    return logit, bias, calibrate(*strongest_of(logit, bias, kept), kept_toxic, prior)
 
 
 def strongest_windows(logit: np.ndarray, padded: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -206,20 +210,30 @@ def strongest_windows(logit: np.ndarray, padded: np.ndarray, starts: np.ndarray,
     return (word[b] - word[a]) / np.maximum(b - a, 1)
 
 
-def features(top: np.ndarray, made: np.ndarray) -> np.ndarray:
-    return np.stack([np.clip(top, -50, 50), np.log1p(made), np.ones(len(top))], axis=1)
+def features(top: np.ndarray, few: np.ndarray, made: np.ndarray) -> np.ndarray:
+    return np.stack([np.clip(top, -50, 50), np.clip(few, -50, 50), np.log1p(made), np.ones(len(top))], axis=1)
 
 
-def calibrate(top: np.ndarray, made: np.ndarray, toxic: np.ndarray, prior: float) -> np.ndarray:
+def calibrate(top: np.ndarray, few: np.ndarray, made: np.ndarray, toxic: np.ndarray, prior: float) -> np.ndarray:
     """A logistic regression by Newton's steps, lightly ridged, with the classes at their prior shares."""
-    x, y = features(top, made), toxic.astype(np.float64)
+    x, y = features(top, few, made), toxic.astype(np.float64)
     v = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-    w = np.zeros(3)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (v * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
-        w -= np.linalg.solve(h, x.T @ (v * (p - y)) + 1e-2 * w)
-    return w
+    used = np.ones(x.shape[1], dtype=bool)
+    while True:
+        z, w = x[:, used], np.zeros(used.sum())
+        ridge = 0.1 * np.eye(len(w))
+        ridge[-1, -1] = 1e-3
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            h = (z * (v * p * (1 - p))[:, None]).T @ z + ridge
+            w -= np.linalg.solve(h, z.T @ (v * (p - y)) + ridge @ w)
+        out = np.zeros(x.shape[1])
+        out[used] = w
+        # more toxic windows never make a text less toxic
+        wrong = np.flatnonzero(out[:2] < 0)
+        if not len(wrong):
+            return out
+        used[wrong[np.argmin(out[wrong])]] = False
 
 
 def score(model: Model | None, texts: pa.Array) -> np.ndarray:
