@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallyspark.llm.shared import column, dealt, groups, materialize
+from tallyspark.llm.shared import dealt, groups, materialize
 
 SHARD, LEAF, QUERIES = 8192, 128, 2048
 FOUND = "query_id long, vec_id long, score long"
