@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyspark.functions.hashing import h60
-from tallyspark.functions.noise import flip_bit, geometric, laplace, noised_estimate, unflip
+from tallyspark.functions.noise import flip_bit, laplace, noised_estimate, unflip
 from tallyspark.functions.numerics import flip_probability
 
 
@@ -91,6 +91,3 @@ def budget_split(epsilon: float, split: float) -> tuple[float, float]:
     if not 0 <= split < 1:
         raise ValueError(f"a split is in [0, 1), not {split}")
     return (epsilon, epsilon) if split == 0 else (epsilon * split, epsilon * (1 - split))
-
-
-__all__ = ["add_random_elements", "blip", "budget_split", "denoise", "dense", "flip", "geometric", "identity", "noised_counts", "noised_legions", "noised_levels"]

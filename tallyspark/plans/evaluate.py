@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallyspark.functions.hashing import h60_value
 from tallyspark.plans.methods import Method
 from tallyspark.plans.registry import Evaluation
-from tallyspark.plans.simulate import aggregated, simulate
+from tallyspark.plans.simulate import simulate
 
 
 def with_labels(raw: DataFrame, method: Method, scenario: str) -> DataFrame:
@@ -49,6 +49,3 @@ def read_results(spark: SparkSession, out: str, file_format: str = "parquet") ->
 def running_times(times: DataFrame) -> DataFrame:
     """Hours per method over all scenarios, by name."""
     return times.groupBy("sketch_estimator").agg(F.sum("running_time").alias("running_time")).orderBy("sketch_estimator")
-
-
-__all__ = ["aggregated", "evaluate", "read_results", "running_times", "with_labels"]
