@@ -151,24 +151,27 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     head = np.flatnonzero(new)
     # a group's rank is the place of its first member
     rank[order] = np.repeat(head, np.diff(np.append(head, n)))
+    # ranks of an array this short fit three to a sort key, so each round triples the depth (else doubles it)
+    bits = int(n).bit_length()
+    fit = 3 if 3 * bits <= 63 else 2
     h = 8
     while h < depth:
-        alone = new & np.append(new[1:], True)
-        open_ = np.flatnonzero(~alone)
+        open_ = np.flatnonzero(~(new & np.append(new[1:], True)))
         if not len(open_):
             break
         at = order[open_]
-        ahead = at + h
-        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        pair = rank[at] << 32 | second
-        by = np.argsort(pair)
-        order[open_] = at[by]
-        pair = pair[by]
-        fresh = np.concatenate([[True], pair[1:] != pair[:-1]])
+        key = rank[at]
+        for j in range(1, fit):
+            ahead = at + j * h
+            key = key << bits | np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        at, key = at[by], key[by]
+        order[open_] = at
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
         new[open_] = fresh
         head = np.flatnonzero(fresh)
-        rank[order[open_]] = np.repeat(open_[head], np.diff(np.append(head, len(open_))))
-        h *= 2
+        rank[at] = np.repeat(open_[head], np.diff(np.append(head, len(open_))))
+        h *= fit
     return order, new
 
 
