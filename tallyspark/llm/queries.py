@@ -15,7 +15,7 @@ from tallyspark.llm.ngram_join import ngram_join
 from tallyspark.llm.oracles import SQL
 from tallyspark.llm.secret_scan import secrets
 from tallyspark.llm.shared import table
-from tallyspark.llm.substring_dedup import substring_dedup
+from tallyspark.llm.substring_dedup import passage_pairs
 from tallyspark.llm.suffix_dedup import suffix_dedup
 from tallyspark.llm.toxicity import toxicity
 
@@ -33,7 +33,7 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"))
+    return passage_pairs(table(spark, sf_dir, "documents"))
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,3 +187,7 @@ def test_substring_dedup(docs, odd, none):
     # near copies are found as passages of the text they come from
     assert all(got[30 + i][0].n_dup_words > 0.7 * got[30 + i][0].n_words for i in range(4))
     assert substring_dedup.substring_dedup(none).count() == 0
+    pairs = {(r.doc_id, r.other_doc_id): r for r in substring_dedup.passage_pairs(docs).collect()}
+    assert {(41, 40), (42, 40), (43, 40), (20, 3), (31, 11)} <= set(pairs)
+    assert {d for d, _ in pairs} == {d for d, r in got.items() if r[0].n_dup_words} and all(a > b for a, b in pairs)
+    assert 70 <= pairs[41, 40].n_words <= 90 and substring_dedup.passage_pairs(none).count() == 0
