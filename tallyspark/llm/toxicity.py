@@ -248,13 +248,14 @@ def score(model: Model | None, texts: pa.Array) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1) -> Model | None:
     """Train on at most SAMPLE documents of each class, chosen by hash among the
-    labelled rows outside the held-out fold; that bound also bounds the broadcast."""
+    labelled rows outside the held-out fold; that bound also bounds the broadcast. Rows that
+    repeat an id count as one sample each, within the same bound."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(fold)) != held)
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     sample = known.where("toxic = 1").orderBy(*order).limit(SAMPLE).unionAll(known.where("toxic = 0").orderBy(*order).limit(SAMPLE))
     head = F.substring("text", 1, SAMPLE_CHARS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", head.alias("text"), "toxic").where("text is not null").orderBy("doc_id", "text").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", head.alias("text"), "toxic").where("text is not null").orderBy("doc_id", "text").limit(2 * SAMPLE).collect()
     toxic = np.array([r.toxic for r in rows])
     if len(set(toxic.tolist())) < 2:
         return None
