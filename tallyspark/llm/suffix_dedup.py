@@ -11,7 +11,7 @@ also starts in a document with a smaller id.
 2. Stretches are dealt to shards by their minimum, so equal strings meet. The
    most frequent minima are salted by document: their strings are spread over
    `SALTS` shards.
-3. A shard builds the suffix array of its stretches by Larsson-Sadakane refinement
+3. Stretches equal to one of a smaller document go whole. Of the others a shard builds the suffix array by Larsson-Sadakane refinement
    (only groups that are still equal are sorted again), takes common prefixes by
    Kasai's rule, that the next suffix's is at most one shorter, in parallel lanes,
    and finds each repeated string's smallest document.
@@ -278,6 +278,20 @@ def joined_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
         yield made(pa.Table.from_batches(held))
 
 
+def repeats(flat: np.ndarray, cut: np.ndarray, ids: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Which stretches are equal, byte for byte, to one of a smaller document in this shard: they go
+    whole and need no place in the suffix array. Equality is that of a 64-bit hash under an equal
+    64-bit minimum."""
+    key = tk.span_hashes(flat, cut[:-1], cut[1:], tk.SAME) ^ tk.seeded(m.view(np.uint64), 7)
+    order = np.lexsort((ids, key))
+    sorted_ = key[order]
+    head = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    first = np.repeat(ids[order][head], np.diff(np.append(head, len(order))))
+    out = np.zeros(len(ids), dtype=bool)
+    out[order] = ids[order] > first
+    return out
+
+
 SPANS = "m long, salt int, doc_id long, version long, at long, size long, bytes binary"
 
 
@@ -295,6 +309,16 @@ def sharded(pieces: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, flat, cut, _ in joined_shards(batches):
+            ids, sizes = table.column("doc_id").to_numpy(), np.diff(cut)
+            later = repeats(flat, cut, ids, table.column("m").to_numpy())
+            row = np.flatnonzero(later)
+            if len(row):
+                yield span_batch(table, row, np.zeros(len(row), np.int64), sizes[row] - LENGTH + 1)
+                kept = np.flatnonzero(~later)
+                begin, sizes = cut[kept], sizes[kept]
+                cut = np.concatenate([[0], np.cumsum(sizes)])
+                flat = flat[np.repeat(begin - cut[:-1], sizes) + np.arange(cut[-1])]
+                table = table.take(kept)
             flags = decide(flat, cut, table.column("doc_id").to_numpy())
             row, begin, end = runs(flags == 2, cut)
             if len(row):
