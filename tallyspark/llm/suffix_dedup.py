@@ -11,9 +11,9 @@ also starts in a document with a smaller id.
 2. Stretches are dealt to shards by their minimum, so equal strings meet. The
    most frequent minima are salted by document: their strings are spread over
    `SALTS` shards.
-3. Stretches equal to one of a smaller document go whole. Of the others a shard builds the suffix array by Larsson-Sadakane refinement
-   (only groups that are still equal are sorted again), takes common prefixes by
-   Kasai's rule, that the next suffix's is at most one shorter, in parallel lanes,
+3. Stretches equal to one of a smaller document go whole. Of the others a shard builds
+   the suffix array by Larsson-Sadakane refinement (only groups that are still equal
+   are sorted again), takes common prefixes by Kasai's rule, that the next suffix's is at most one shorter, in parallel lanes,
    and finds each repeated string's smallest document.
 4. What a salted shard could not decide goes on, one document per string and shard,
    and the sorted shards are merged by binary search.
