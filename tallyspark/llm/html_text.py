@@ -5,13 +5,15 @@ of content. The region is the smallest container that holds the cluster's text;
 inside it every block is kept but those of menus, forms, notices and the like.
 
 Cases: null or empty html, or html without text, gives an empty text; unclosed
-and stray tags are tolerated; pages of any length are read whole; repeated rows
+and stray tags are tolerated at any depth, and end tags that HTML lets a page omit
+are supplied; pages of any length are read whole; repeated rows
 each give a row; extra columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -27,6 +29,16 @@ CONTAINERS = frozenset("article main section div body td blockquote".split())
 #: Words of a class, id or role that mark what isn't the article.
 ASIDE_WORDS = frozenset("ad adbox adsbygoogle adslot ads adv advert advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted promotion related recommended reply replies respond search share sharebar sharing sidebar signup social sponsor sponsored sponsors subscribe toolbar widget widgets copyright cookiebar disclaimer login overlay paywall poll signin survey subscription contentinfo complementary alert form dialog toc".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What a start tag closes if its end tag was omitted, but not beyond an open element of the second set.
+SCOPE = frozenset("table td th caption article section aside nav main header footer blockquote fieldset form details dialog figure button select object template".split())
+CLOSES: dict[str, tuple[frozenset[str], frozenset[str]]] = {
+    "li": (frozenset(["li"]), SCOPE | {"ul", "ol", "menu"}),
+    "option": (frozenset(["option"]), frozenset(["select", "datalist", "optgroup"])),
+    "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
+    "tr": (frozenset(["tr", "caption"]), frozenset(["table"])),
+} | {t: (frozenset(["dt", "dd"]), SCOPE | {"dl"}) for t in ("dt", "dd")}
+CLOSES |= {t: (frozenset(["td", "th"]), frozenset(["tr", "table"])) for t in ("td", "th")}
+CLOSES |= {t: (frozenset(["thead", "tbody", "tfoot", "tr", "caption"]), frozenset(["table"])) for t in ("thead", "tbody", "tfoot")}
 SPLIT = re.compile(r"[^a-z0-9]+")
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
@@ -39,6 +51,7 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.kinds: dict[int, str] = {}
         self.open: list[tuple[str, bool, int]] = []  # tag, hidden, container's number or 0
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # of each tag, its places in open
         self.hidden = self.number = self.tags = 0
         self.path: tuple[int, ...] = ()
         self.parts: list[str] = []
@@ -81,6 +94,10 @@ class Lines(HTMLParser):
             return
         if tag in BLOCK and self.open and self.open[-1][0] == "p":
             self.close_last()
+        if tag in CLOSES:
+            ends, scope = CLOSES[tag]
+            least = max((self.places[t][-1] for t in scope if self.places[t]), default=-1)
+            self.close_from(min((self.places[t][-1] for t in ends if self.places[t] and self.places[t][-1] > least), default=len(self.open)))
         hidden = self.aside(tag, attrs)
         number = 0
         if tag in CONTAINERS and not hidden:
@@ -89,23 +106,26 @@ class Lines(HTMLParser):
             self.kinds[number] = "article" if any(k == "itemprop" and v == "articleBody" for k, v in attrs) else tag
             self.path += (number,)
         self.hidden += hidden
+        self.places[tag].append(len(self.open))
         self.open.append((tag, hidden, number))
 
     def close_last(self) -> None:
-        _, hidden, number = self.open.pop()
+        tag, hidden, number = self.open.pop()
+        self.places[tag].pop()
         self.hidden -= hidden
         if number:
             self.path = self.path[:-1]
 
+    def close_from(self, place: int) -> None:
+        while len(self.open) > place:
+            self.close_last()
+
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCK:
             self.end_line()
-        for i in range(len(self.open) - 1, max(-1, len(self.open) - 64), -1):
-            if self.open[i][0] == tag:
-                while len(self.open) > i:
-                    self.close_last()
-                return
+        if self.places[tag]:
+            self.close_from(self.places[tag][-1])
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:

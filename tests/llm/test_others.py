@@ -138,6 +138,28 @@ def test_html_regions(page, want):
     assert html_text.extract(page) == want
 
 
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<form><select>" + "<option>x" * 100 + "</select></form>",
+        "<nav><ul>" + "<li>x" * 100 + "</ul></nav>",
+        "<nav><div>" + "<b>x" * 100 + "</div></nav>",
+        "<aside><dl>" + "<dt>x<dd>y" * 100 + "</dl><table>" + "<tr><td>x<td>y" * 100 + "</table></aside>",
+    ],
+)
+def test_html_without_optional_end_tags(before):
+    assert html_text.extract(f"<body>{before}<article><p>The text.</p></article></body>") == "The text."
+
+
+def test_html_closes_cells_and_items():
+    parser = html_text.Lines()
+    parser.feed("<table><tr><td>a<table><tr><td>b<td>c</table><td>d<tr><th>e<tbody><tr><td>f</table><ul><li>g<ul><li>h<li>i</ul><li>j</ul><dl><dt>k<dd>l</dl>m")
+    parser.close()
+    parser.end_line()
+    assert [(t, len(path)) for t, _, path, _ in parser.lines] == [("a", 1), ("b", 2), ("c", 2), ("d", 1), ("e", 0), ("f", 1), *[(x, 0) for x in "ghijklm"]]
+    assert not parser.open and not parser.path
+
+
 # ---- secrets -------------------------------------------------------------------------------
 
 
