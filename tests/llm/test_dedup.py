@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tallyspark.llm import line_dedup, ngram_join, substring_dedup, suffix_dedup
-from tests.llm.conftest import rows
+from tests.llm.conftest import prose, rows
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -191,3 +191,16 @@ def test_substring_dedup(docs, odd, none):
     assert {(41, 40), (42, 40), (43, 40), (20, 3), (31, 11)} <= set(pairs)
     assert {d for d, _ in pairs} == {d for d, r in got.items() if r[0].n_dup_words} and all(a > b for a, b in pairs)
     assert 70 <= pairs[41, 40].n_words <= 90 and substring_dedup.passage_pairs(none).count() == 0
+
+
+def test_passage_of_two_frequent_lines(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "WHOLE", 8)
+    one, two = prose(1, 25).replace("\n", " "), prose(2, 25).replace("\n", " ")
+    alone = lambda i, line: f"{prose(1000 + i, 60)} {line} {prose(5000 + i, 60)}"
+    # the words where the lines meet are frequent, too
+    lines = (one, two, " ".join(one.split()[-4:] + two.split()[:4]))
+    data = [(i, alone(i, lines[i % 3])) for i in range(200) if i not in (80, 120)]
+    data += [(i, alone(i, f"{one} {two}")) for i in (80, 120)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.other_doc_id): r for r in substring_dedup.passage_pairs(df).collect()}
+    assert set(got) == {(120, 80)} and 50 <= got[120, 80].n_words <= 52
