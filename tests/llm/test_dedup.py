@@ -204,3 +204,16 @@ def test_passage_of_two_frequent_lines(spark, monkeypatch):
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
     got = {(r.doc_id, r.other_doc_id): r for r in substring_dedup.passage_pairs(df).collect()}
     assert set(got) == {(120, 80)} and 50 <= got[120, 80].n_words <= 52
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_neighbouring_passages_from_far_apart(spark, turned):
+    one, two = prose(1, 60), prose(2, 60)
+    early = f"{prose(3, 40)} {one} {prose(4, 1500)} {two} {prose(5, 40)}"
+    late = f"{prose(6, 80)} {two} {one} {prose(7, 80)}" if turned else f"{prose(6, 80)} {one} {two} {prose(7, 80)}"
+    df = spark.createDataFrame([(1, early), (2, late)], "doc_id long, text string")
+    (got,) = [r for r in substring_dedup.substring_dedup(df).collect() if r.doc_id == 2]
+    found = {i for s in got.spans.split(",") for i in range(*map(int, s.split(":")))}
+    assert set(range(80, 200)) <= found and len(found) <= 140
+    (pair,) = substring_dedup.passage_pairs(df).collect()
+    assert (pair.doc_id, pair.other_doc_id, pair.n_words) == (2, 1, got.n_dup_words)
