@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyspark.llm import textkernel as tk
 
@@ -26,8 +26,10 @@ WINDOW, STRIDE, TOP = 12, 6, 4
 GRAMS = (3, 4, 5, 6, 8)
 TABLE_BITS = 19
 DIMENSION = 6
-#: Bounds of the training sample: labelled documents of each class, and characters of a document.
-SAMPLE, SAMPLE_CHARS = 2500, 6000
+#: Bounds of the training sample: labelled documents of each class, and bytes of their texts, which are whole.
+SAMPLE, SAMPLE_BYTES = 2500, 16 << 20
+#: Words of the windows of one training step: a batch with more is taken in several.
+STEP_WORDS = 1 << 15
 RARE = 0.004
 EPOCHS, RATE, BATCH = 3, 0.01, 12
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -162,37 +164,40 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 7) -> M
                     if first[i] < first[i + 1]:
                         keep[first[i] + int(np.argmax(value[first[i] : first[i + 1]]))] = True
                 a, b, y = a[keep], b[keep], y[keep]
-            # the n-grams of all words of all windows, with their weight in the window's mean
-            sizes = b - a
-            word = np.repeat(a - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-            window = np.repeat(np.arange(len(a)), sizes)
             grams = np.zeros(len(starts))
             for n in GRAMS:
                 grams += np.maximum(0, ends - starts + 3 - n)
-            ids, belongs, share_of = [], [], []
-            for n in GRAMS:
-                rows = rows_of(padded, n)
-                own_n = np.maximum(0, ends - starts + 3 - n)[word]
-                pos = np.repeat(starts[word] - np.concatenate([[0], np.cumsum(own_n)[:-1]]), own_n) + np.arange(own_n.sum())
-                ids.append(rows[pos])
-                belongs.append(np.repeat(window, own_n))
-                share_of.append(np.repeat(1 / (grams[word] * sizes[window]), own_n))
-            ids, belongs, share_of = np.concatenate(ids), np.concatenate(belongs), np.concatenate(share_of)
-            mean = np.stack([np.bincount(belongs, table[ids, d] * share_of, minlength=len(a)) for d in range(DIMENSION)], axis=1)
-            p = 1 / (1 + np.exp(-np.clip(bias + mean @ slope, -30, 30)))
-            weight = np.where(y == 1, 1 / share, 1 / (1 - share))
-            error = (p - y) * weight / len(a)
-            pull = np.bincount(ids, error[belongs] * share_of, minlength=size)
-            touched = np.flatnonzero(pull * used)
-            grad = (pull[touched, None] * slope[None, :]).astype(np.float32)
-            seen[touched] += grad * grad
-            table[touched] -= RATE * grad / np.sqrt(seen[touched])
-            g = (mean.T @ error).astype(np.float32)
-            slope_seen += g * g
-            slope -= RATE * g / np.sqrt(slope_seen)
-            g = float(error.sum())
-            bias_seen += g * g
-            bias -= 0.1 * g / bias_seen**0.5
+            rows = [rows_of(padded, n) for n in GRAMS]
+            # a long text's windows make several steps, so that memory is bounded and no window is left out
+            cuts = np.flatnonzero(np.diff(np.cumsum(b - a) // STEP_WORDS)) + 1
+            for a, b, y in zip(*(np.split(x, cuts) for x in (a, b, y))):
+                # the n-grams of all words of all windows, with their weight in the window's mean
+                sizes = b - a
+                word = np.repeat(a - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+                window = np.repeat(np.arange(len(a)), sizes)
+                ids, belongs, share_of = [], [], []
+                for n, found in zip(GRAMS, rows):
+                    own_n = np.maximum(0, ends - starts + 3 - n)[word]
+                    pos = np.repeat(starts[word] - np.concatenate([[0], np.cumsum(own_n)[:-1]]), own_n) + np.arange(own_n.sum())
+                    ids.append(found[pos])
+                    belongs.append(np.repeat(window, own_n))
+                    share_of.append(np.repeat(1 / (grams[word] * sizes[window]), own_n))
+                ids, belongs, share_of = np.concatenate(ids), np.concatenate(belongs), np.concatenate(share_of)
+                mean = np.stack([np.bincount(belongs, table[ids, d] * share_of, minlength=len(a)) for d in range(DIMENSION)], axis=1)
+                p = 1 / (1 + np.exp(-np.clip(bias + mean @ slope, -30, 30)))
+                weight = np.where(y == 1, 1 / share, 1 / (1 - share))
+                error = (p - y) * weight / len(a)
+                pull = np.bincount(ids, error[belongs] * share_of, minlength=size)
+                touched = np.flatnonzero(pull * used)
+                grad = (pull[touched, None] * slope[None, :]).astype(np.float32)
+                seen[touched] += grad * grad
+                table[touched] -= RATE * grad / np.sqrt(seen[touched])
+                g = (mean.T @ error).astype(np.float32)
+                slope_seen += g * g
+                slope -= RATE * g / np.sqrt(slope_seen)
+                g = float(error.sum())
+                bias_seen += g * g
+                bias -= 0.1 * g / bias_seen**0.5
     logit = (table @ slope).astype(np.float32)
     if min(np.bincount(kept_toxic, minlength=2)) < 20:
         kept, kept_toxic = texts + kept, np.concatenate([toxic, kept_toxic])
@@ -248,14 +253,16 @@ def score(model: Model | None, texts: pa.Array) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1) -> Model | None:
     """Train on at most SAMPLE documents of each class, chosen by hash among the
-    labelled rows outside the held-out fold; that bound also bounds the broadcast. Rows that
-    repeat an id count as one sample each, within the same bound."""
+    labelled rows outside the held-out fold, and of these on as many as SAMPLE_BYTES hold for a
+    class: whole texts, in the order of the hash. That also bounds the broadcast. Rows that
+    repeat an id count as one sample each, within the same bounds."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(fold)) != held)
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     sample = known.where("toxic = 1").orderBy(*order).limit(SAMPLE).unionAll(known.where("toxic = 0").orderBy(*order).limit(SAMPLE))
-    head = F.substring("text", 1, SAMPLE_CHARS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", head.alias("text"), "toxic").where("text is not null").orderBy("doc_id", "text").limit(2 * SAMPLE).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
+    sofar = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("toxic").orderBy(*order, "text").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("bytes", sofar).where(F.col("bytes") <= SAMPLE_BYTES).select("doc_id", "text", "toxic").orderBy("doc_id", "text").limit(2 * SAMPLE).collect()
     toxic = np.array([r.toxic for r in rows])
     if len(set(toxic.tolist())) < 2:
         return None

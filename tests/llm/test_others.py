@@ -248,6 +248,33 @@ def test_toxicity(spark, none):
     assert kept == {i for i, r in got.items() if not r.predicted}
 
 
+def test_toxicity_learns_from_the_end_of_long_texts(spark):
+    data, labels = toxic_data()
+    head = prose(8, 1400)
+    assert len(head) > 6000
+    data = [(i, f"{head} {t}" if i < 300 or i % 3 else t) for i, t in data if i < 500]
+    data = [(i, f"{head} {t}" if len(t) < 6000 and i % 5 == 0 else t) for i, t in data]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    marks = spark.createDataFrame([x for x in labels if x[0] < 500], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, marks).collect()}
+    held = [(i, t) for i, _, t in labels if i < 500 and got[i].held_out]
+    assert sum(got[i].predicted == t for i, t in held) >= 0.9 * len(held)
+    assert sum(got[i].predicted for i, t in held if t) >= 0.8 * sum(t for _, t in held)
+
+
+def test_toxicity_sample_is_of_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, prior: seen.append(texts))
+    texts = {i: prose(i, 40 if i % 3 else 3000) for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, toxic int")
+    toxicity.fit(docs, marks)
+    assert set(seen[0]) <= set(texts.values()) and max(map(len, seen[0])) > 6000
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 30_000)
+    toxicity.fit(docs, marks)
+    assert set(seen[1]) < set(seen[0]) and sum(len(t.encode()) for t in seen[1]) <= 60_000
+
+
 # ---- mixing --------------------------------------------------------------------------------
 
 
