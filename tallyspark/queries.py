@@ -171,6 +171,13 @@ def bloom_membership(spark, d):
     return K3.contains(K3.build(rows), rows.where("id <= 500"))
 
 
+@query(f"WITH {IMP}, placed AS ({K3_ROWS}), bits AS (SELECT DISTINCT {KEYS}, register FROM placed), cand AS (SELECT DISTINCT id, register FROM placed), all_ AS (SELECT id, count(*) AS n FROM cand GROUP BY id) SELECT run_index, set_index, id FROM cand JOIN bits USING (register) JOIN all_ USING (id) GROUP BY run_index, set_index, id, n HAVING count(*) = n")
+def bloom_membership_whole(spark, d):
+    """Membership of every id of the table; bloom_membership and its SQL test the ids up to 500."""
+    rows = imp(spark, d)
+    return K3.contains(K3.build(rows), rows)
+
+
 @query(f"WITH {IMP} SELECT {KEYS}, {UNI_INDEX} AS register, count(*)::DOUBLE AS value FROM imp GROUP BY ALL")
 def counting_registers(spark, d):
     return sk.counting_filter(LENGTH, seed=SEED).build(imp(spark, d))
