@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyspark.llm import textkernel as tk
 from tallyspark.llm.shared import bitmap, dealt, has_bit, materialize, tidied
@@ -361,10 +361,10 @@ def merged(pieces: DataFrame) -> DataFrame:
     return dealt(ready, "m").sortWithinPartitions("m", "doc_id", "at").mapInArrow(lambda rows: tidied(run(rows)), SPANS)
 
 
-def without_copies(docs: DataFrame) -> tuple[list[tuple[DataFrame, Broadcast | None]], DataFrame]:
+def without_copies(docs: DataFrame, count: Column | None = None) -> tuple[list[tuple[DataFrame, Broadcast | None]], DataFrame]:
     """Texts (doc_id, version, text), each distinct one once, under its smallest id: all with
     the bitmap of those to leave out, and the firsts of those. And the other copies
-    (doc_id, version, at, size), which go whole.
+    (doc_id, version, at, size, first), which go whole; size is in bytes, or what count says.
 
     Only the rows whose hash is in a bitmap of the repeated hashes are shuffled.
     """
@@ -380,11 +380,12 @@ def without_copies(docs: DataFrame) -> tuple[list[tuple[DataFrame, Broadcast | N
 
     some = texts.withColumn("check", check)
     some = materialize(some.mapInArrow(lambda rows: tidied(run(rows)), some.schema), "repeated")
-    ids = some.select("doc_id", "version", "check", F.octet_length("text").cast("long").alias("size")).join(twice.hint("merge"), ["version", "check"], "left")
+    size = F.octet_length("text") if count is None else count
+    ids = some.select("doc_id", "version", "check", size.cast("long").alias("size")).join(twice.hint("merge"), ["version", "check"], "left")
     ids = materialize(ids.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("first"), F.lit(True))), "ids")
     firsts = ids.where("kept").select("doc_id", "version", "check").distinct()
     kept = some.join(firsts.hint("merge"), ["doc_id", "version", "check"], "left_semi").dropDuplicates(["doc_id", "version", "check"]).select("doc_id", "version", "text")
-    later = ids.where("not kept").select("doc_id", "version", F.lit(0).cast("long").alias("at"), "size").distinct()
+    later = ids.where("not kept").select("doc_id", "version", F.lit(0).cast("long").alias("at"), "size", "first").distinct()
     return [(texts, shipped), (materialize(kept, "firsts"), None)], later
 
 
@@ -402,9 +403,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     hot = np.array([r.m for r in shared.where(F.col("n") > HOT).orderBy(F.desc("n"), "m").limit(HOT_KEYS).collect()], dtype=np.int64)
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(shared, "m", BITMAP_BITS))
     found = materialize(sharded(united([stretches(*t, bits, hot) for t in texts])), "spans")
-    parts = [copies, found.where("bytes is null").select(*copies.columns)]
+    where = ["doc_id", "version", "at", "size"]
+    parts = [copies.select(*where), found.where("bytes is null").select(*where)]
     if len(hot):
-        parts.append(merged(found.where("bytes is not null")).select(*copies.columns))
+        parts.append(merged(found.where("bytes is not null")).select(*where))
     spans = united(parts)
     return spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "size")).alias("spans"))
 
