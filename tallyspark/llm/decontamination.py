@@ -1,44 +1,45 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 A test item is short and may lie inside a document of any length, so the items
-are sketched, not the documents: an item's MinHash sketch is its `SKETCH`
-smallest shingle hashes, and each of these is in the document with the
-probability of the containment. Items are partitioned by size; a partition's
-sketch length and the hits it needs are set so that an item contained to the
-threshold is missed with probability below 1e-9 (items of up to SKETCH shingles are
-sketched whole, and miss nothing). Documents are scanned once: their shingles
-are tested against the sketches, what has enough hits is verified by
-exact shingle containment, |item and document| / |item|.
+are sketched, not the documents: an item's MinHash sketch is its smallest shingle hashes,
+and each of these is in the document with the probability of the containment.
 
-Words are runs of letters and digits, in lower case; shingles take five words.
+1. Items are partitioned by the size of their shingle sets. Each partition has a sketch length and
+   a number of hits that a document needs (`PARTITIONS`), such that an item contained to the threshold is missed with probability below
+   `MISS`; the partition of items of up to 64 shingles keeps whole sets, which miss nothing.
+2. A filter of fixed size holds the items' shingles. The documents are scanned once; of each
+   one only the shingles in the filter go on.
+3. A document that has the needed h of an item's m sketched shingles has one at least of any m - h + 1 of
+   them, so only those of an item that the fewest documents have are joined. What meets there is counted against the whole sketch, and
+   what has enough hits is verified by exact shingle containment, |item and document| / |item|.
 
-The items go to the executors in blocks of at most `BLOCK_ITEMS` items and
-`BLOCK_BYTES` bytes of text, one pass over the documents for each block, so the
-broadcast is bounded however large the benchmark is.
+Words are runs of letters and digits, in lower case; shingles take five words. Neither items nor documents
+pass through the driver, which gathers the filter's 2^`FILTER_BITS` bits only.
 
 Cases: a null or empty item or document has no shingles and matches nothing;
 an item of fewer than five words is one shingle; documents of any length are
-read whole; repeated items and documents each give their rows; empty tables give an
-empty table; extra columns are not read.
+read whole; repeated items and documents, and ties, each give their rows; documents with a null id are searched like
+others, items with one are not; empty tables give an
+empty table; extra columns, whatever their names, are not read, and pass through `decontaminated`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, comb
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyspark.llm import textkernel as tk
-from tallyspark.llm.shared import tidied
+from tallyspark.llm.shared import bitmap, has_bit, lists, materialize, tidied
 
-SKETCH = 64
 MISS = 1e-9
-BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
-FILTER_BITS = 20
+FILTER_BITS = 27
+#: Largest set of each partition of the items, and its sketch length; the last one has no end.
+PARTITIONS = ((64, 64), (256, 72), (1024, 96), (4096, 112), (None, 128))
 SCHEMA = "doc_id long, item_id long, n_shared long, n_item long, containment double"
 
 
@@ -57,108 +58,79 @@ def hits_needed(m: int, share: float) -> int:
     return max(h, 1)
 
 
-def prepare(items: list[tuple[int, str]], k: int, num: int, den: int):
-    """Of a block of items: ids, sizes, least shared, and the inverted sketches and sets."""
-    ids, sizes, least, need = [], [], [], []
-    sketch_keys, sketch_of, full_keys, full_of = [], [], [], []
-    texts = pa.array([t for _, t in items], pa.string())
-    for first, _, hashes, firsts in shingle_sets(texts, k):
-        for i, (a, b) in enumerate(zip(firsts[:-1], firsts[1:])):
-            own = np.unique(hashes[a:b])
-            if not len(own):
-                continue
-            m = min(len(own), SKETCH)
-            at = len(ids)
-            ids.append(items[first + i][0])
-            sizes.append(len(own))
-            least.append(ceil(num * len(own) / den))
-            # a sketch that is the whole set needs as many hits as the containment itself
-            need.append(ceil(num * len(own) / den) if m == len(own) else hits_needed(m, num / den))
-            sketch_keys.append(own[:m])
-            sketch_of.append(np.full(m, at))
-            full_keys.append(own)
-            full_of.append(np.full(len(own), at))
-    if not ids:
-        return None
-    sketch, sets = (inverted(np.concatenate(a), np.concatenate(b)) for a, b in ((sketch_keys, sketch_of), (full_keys, full_of)))
-    return np.array(ids), np.array(sizes), np.array(least), np.array(need), sketch, sets
-
-
-def inverted(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, where each one's owners begin, and the owners."""
-    order = np.argsort(keys, kind="stable")
-    values, begin = np.unique(keys[order], return_index=True)
-    return values, np.append(begin, len(keys)), owners[order]
-
-
-def counted(index: tuple[np.ndarray, np.ndarray, np.ndarray], hashes: np.ndarray, n: int) -> np.ndarray:
-    """Per item, how many of its keys are among the distinct hashes."""
-    values, begin, owners = index
-    at = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
-    at = at[values[at] == hashes]
-    spans = begin[at + 1] - begin[at]
-    pos = np.repeat(begin[at] - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum())
-    return np.bincount(owners[pos], minlength=n)
-
-
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items, streamed to the driver, in blocks of bounded size."""
-    block, size = [], 0
-    for row in benchmark.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
-        if block and (len(block) >= BLOCK_ITEMS or size + len(row.text) > BLOCK_BYTES):
-            yield block
-            block, size = [], 0
-        block.append((row.item_id, row.text))
-        size += len(row.text)
-    if block:
-        yield block
-
-
-def search(docs: DataFrame, items: list[tuple[int, str]], k: int, num: int, den: int) -> DataFrame | None:
-    """One block of items against all documents."""
-    prepared = prepare(items, k, num, den)
-    if prepared is None:
-        return None
-    shipped = docs.sparkSession.sparkContext.broadcast(prepared)
+def own_sets(texts: pa.Array, k: int, bits: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Each text's sorted distinct shingle hashes; with a filter, those in it."""
+    for _, _, hashes, firsts in shingle_sets(texts, k):
+        if bits is None:
+            for a, b in zip(firsts[:-1], firsts[1:]):
+                yield np.unique(hashes[a:b])
+            continue
+        at = np.flatnonzero(has_bit(bits, hashes))
+        cuts = np.searchsorted(at, firsts)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield np.unique(hashes[at[a:b]])
+
+
+def set_rows(rows: DataFrame, k: int, bits: np.ndarray | None = None) -> DataFrame:
+    """(id, shingles) of rows (id, text) with a shingle (in the filter)."""
+    shipped = None if bits is None else rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, least, need, sketch, sets = shipped.value
-        seen = np.zeros(1 << FILTER_BITS, dtype=bool)
-        seen[(sets[0] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         for batch in batches:
-            numbers = batch.column(0).cast(pa.int64())
-            found: list[tuple[int, int, int]] = []
-            for first, _, hashes, firsts in shingle_sets(batch.column(1), k):
-                at = np.flatnonzero(seen[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-                text = np.searchsorted(firsts, at, side="right") - 1
-                cuts = np.append(np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])), len(text)) if len(text) else [0]
-                for s, e in zip(cuts[:-1], cuts[1:]):
-                    own = np.unique(hashes[at[s:e]])
-                    able = np.flatnonzero(counted(sketch, own, len(ids)) >= need)
-                    if len(able):
-                        shared = counted(sets, own, len(ids))
-                        found += [(first + int(text[s]), int(i), int(shared[i])) for i in able if shared[i] >= least[i]]
-            rows = [d for d, _, _ in found]
-            item = np.array([i for _, i, _ in found], dtype=np.int64)
-            shared = np.array([n for _, _, n in found], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([numbers.take(pa.array(rows, pa.int64())), pa.array(ids[item], pa.int64()), pa.array(shared), pa.array(sizes[item], pa.int64()), pa.array(np.round(shared / np.maximum(sizes[item], 1), 6), pa.float64())], ["doc_id", "item_id", "n_shared", "n_item", "containment"])
-
-    return docs.select("doc_id", "text").mapInArrow(lambda rows: tidied(run(rows)), SCHEMA)
+            found = list(own_sets(batch.column(1), k, shipped.value if shipped else None))
+            sizes = np.array([len(s) for s in found], dtype=np.int64)
+            some = np.flatnonzero(sizes)
+            flat = np.concatenate([found[i] for i in some]) if len(some) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), lists(flat.view(np.int64), np.concatenate([[0], np.cumsum(sizes[some])]), pa.int64())], ["id", "shingles"])
+
+    return rows.mapInArrow(lambda batches: tidied(run(batches)), "id long, shingles array<long>")
+
+
+def partitioned(items: DataFrame, num: int, den: int) -> DataFrame:
+    """items with n (set size), m (sketch length), need (hits) and least (shared shingles) of their size partition."""
+    n = F.size("shingles")
+    m, need = F.lit(None).cast("int"), F.lit(None).cast("int")
+    least = F.ceil(F.lit(num) * n / den).cast("int")
+    for most, length in reversed(PARTITIONS):
+        here = F.lit(True) if most is None else n <= most
+        whole = most is not None and length >= most
+        m = F.when(here, F.least(F.lit(length), n)).otherwise(m)
+        # a sketch that is the whole set needs as many hits as the containment itself
+        need = F.when(here, least if whole else F.lit(hits_needed(length, num / den))).otherwise(need)
+    return items.select(F.monotonically_increasing_id().alias("item"), "id", "shingles", n.alias("n"), m.alias("m"), need.alias("need"), least.alias("least"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """A row per document and item that the document contains to num/den or more."""
-    out = None
-    for block in blocks(benchmark):
-        found = search(docs, block, k, num, den)
-        if found is not None:
-            out = found if out is None else out.unionAll(found)
-    return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
+    # numbers of rows are given to written tables, so that a task that runs again gives the same ones
+    items = materialize(set_rows(benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), "text"), k), "items")
+    items = materialize(partitioned(items, num, den), "partitions")
+    keys = items.select("item", F.posexplode("shingles").alias("place", "shingle"), "m", "need")
+    bits = bitmap(keys.select("shingle").distinct(), "shingle", FILTER_BITS)
+    hits = materialize(set_rows(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), k, bits), "hits")
+    hits = hits.select(F.monotonically_increasing_id().alias("row"), F.col("id").alias("doc_id"), F.col("shingles").alias("own"))
+    posts = hits.select("row", F.explode("own").alias("shingle"))
+    often = posts.groupBy("shingle").agg(F.count("*").alias("docs"))
+    sketch = keys.where("place < m").join(often, "shingle", "left")
+    # of an item's sketch the shingles that the fewest documents have
+    rarest = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("docs", F.lit(0)), "shingle"))
+    probes = sketch.withColumn("rank", rarest).where("rank <= m - need + 1 and docs is not null").select("item", "shingle")
+    pairs = posts.join(probes, "shingle").select("row", "item").distinct()
+    shared = lambda a: F.size(F.array_intersect("own", a))
+    found = pairs.join(items, "item").join(hits, "row").where(shared(F.slice("shingles", F.lit(1), F.col("m"))) >= F.col("need"))
+    found = found.withColumn("shared", shared(F.col("shingles"))).where("shared >= least")
+    return found.select("doc_id", F.col("id").alias("item_id"), F.col("shared").cast("long").alias("n_shared"), F.col("n").cast("long").alias("n_item"), F.round(F.col("shared") / F.col("n"), 6).alias("containment"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents that contain no item; those with a null id are kept if clean as well."""
-    from pyspark.sql import functions as F
-
-    found = contamination(docs, benchmark, k, num, den).select("doc_id").distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_anti").select(*[F.col(c) for c in docs.columns])
+    """The rows whose text contains no item, whatever their ids.
+
+    A row is known by the 64-bit hash of its text, so that rows that repeat an id or have none are each judged
+    by their own text. The hashes of what goes are written first: Spark then knows their size and broadcasts them if they
+    are few, and joins by sorting if not.
+    """
+    names = docs.columns
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    dirty = materialize(contamination(texts, benchmark, k, num, den).select(F.col("doc_id").alias("_dirty")).distinct(), "dirty")
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    return rows.join(dirty, F.xxhash64(f"c{names.index('text')}") == F.col("_dirty"), "left_anti").toDF(*names)

@@ -20,13 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one the cluster names in spark.checkpoint.dir; only where that
-    is unset (tests, local mode) a temporary folder is made and remembered.
+    It is the one the cluster names in spark.checkpoint.dir; where that
+    is unset, a temporary folder is made and remembered, but only for a local master, as
+    a cluster's executors don't see the driver's folders.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = getattr(spark, "_tallyspark_dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tallyspark-")
         spark._tallyspark_dir = found
     return found.rstrip("/")
@@ -41,6 +44,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def appended(df: DataFrame, name: str, path: str | None) -> str:
+    """Add df's rows to the table at path, which is made if there is none; the table's path."""
+    path = path or f"{shared_dir(df.sparkSession)}/tallyspark/{name}-{uuid.uuid4().hex}"
+    df.write.mode("append").parquet(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the written tables of all operators. For the end of a job: frames made from them can't be read any more."""
+    jvm, context = spark._jvm, spark.sparkContext._jsc
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tallyspark")
+    path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

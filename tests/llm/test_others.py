@@ -61,8 +61,10 @@ def test_decontamination(spark, docs, odd, none, monkeypatch):
             q, x = shingles(t), shingles(d.text)
             if i is not None and q and 100 * len(q & x) >= 80 * len(q):
                 want.append((d.doc_id, i, len(q & x), len(q), round(len(q & x) / len(q), 6)))
-    for size in (20_000, 1):
-        monkeypatch.setattr(decontamination, "BLOCK_ITEMS", size)
+    # a filter of few bits lets other shingles through; short sketches only choose candidates
+    for bits, sizes in ((27, decontamination.PARTITIONS), (16, ((64, 64), (None, 72)))):
+        monkeypatch.setattr(decontamination, "FILTER_BITS", bits)
+        monkeypatch.setattr(decontamination, "PARTITIONS", sizes)
         assert rows(decontamination.contamination(more, bench)) == sorted(want, key=repr)
     assert {(40, 1), (43, 7), (66, 5), (900, 6)} <= {w[:2] for w in want}
     kept = {r.doc_id for r in decontamination.decontaminated(odd, bench).collect()}
@@ -71,6 +73,24 @@ def test_decontamination(spark, docs, odd, none, monkeypatch):
     assert decontamination.contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminated_judges_each_row(spark):
+    bad = f"{prose(700, 30)} {PASSAGE} {prose(701, 30)}"
+    data = [(None, prose(702, 60), 0), (None, bad, 1), (5, bad, 2), (5, prose(703, 60), 3), (6, None, 4), (7, "", 5), (8, prose(704, 60), 6), (8, prose(704, 60), 7)]
+    names = ("item", "row", "shingle", "own", "shingles", "_dirty", "c0", "n", "id")
+    df = spark.createDataFrame(data, "doc_id long, text string, place int").select("*", *[F.lit(1).alias(n) for n in names])
+    kept = decontamination.decontaminated(df, spark.createDataFrame([(1, PASSAGE)], "item_id long, text string"))
+    assert kept.columns == df.columns and sorted(r.place for r in kept.collect()) == [0, 3, 4, 5, 6, 7]
+
+
+def test_frequent_shingles_are_not_joined(spark):
+    """Items that share a shingle with every document meet only those that may contain them."""
+    common = prose(710, 6).replace("\n", " ")
+    data = [(i, f"{common} {prose(720 + i, 40)}") for i in range(60)] + [(100, f"{common} {prose(900, 12)} {prose(901, 9)}")]
+    items = [(i, f"{common} {prose(900 + i, 12)}") for i in range(40)]
+    got = decontamination.contamination(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert [(r.doc_id, r.item_id, r.containment) for r in got.collect()] == [(100, 0, 1.0)]
+
+
 def test_hits_needed_is_safe():
     for m in (65, 100):
         h = decontamination.hits_needed(m, 0.8)
@@ -80,26 +100,64 @@ def test_hits_needed_is_safe():
 # ---- top-k ---------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("shard", [8192, 40])
-def test_exact_topk(spark, monkeypatch, shard):
+def brute_topk(data, k=10):
+    ok = {(i, tuple(math.floor(1024 * float(np.float64(x))) for x in e)) for i, e in data if i is not None and e and all(x is not None and math.isfinite(x) for x in e)}
+    want = []
+    for q, x in ok:
+        if q % 100 == 0:
+            found = sorted((-sum(a * b for a, b in zip(x, y)), c) for c, y in ok if c != q and len(y) == len(x))[:k]
+            want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(found)]
+    return sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("shard, queries", [(8192, 16_384), (40, 16_384), (15, 2)])
+def test_exact_topk(spark, monkeypatch, shard, queries):
     monkeypatch.setattr(exact_topk, "SHARD", shard)
+    monkeypatch.setattr(exact_topk, "QUERIES", queries)
     monkeypatch.setattr(exact_topk, "LEAF", 8)
     rng = np.random.default_rng(0)
     v = rng.normal(size=(230, 6)).astype(np.float32).tolist()
     data = [(i, x) for i, x in enumerate(v)]
     data += [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (304, []), (400, [1.0, 2.0]), (401, [3.0, 1.0]), (None, v[0])]
     data += [(5, v[5]), (500, v[7]), (501, v[7])]  # a repeated row, and ties
-    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("v", F.lit(1))
-    ok = {(i, tuple(math.floor(1024 * x) for x in e)) for i, e in data if i is not None and e and all(x is not None and math.isfinite(x) for x in e)}
-    want = []
-    for q, x in ok:
-        if q % 100 == 0:
-            found = sorted((-sum(a * b for a, b in zip(x, y)), c) for c, y in ok if c != q and len(y) == len(x))[:10]
-            want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(found)]
-    assert rows(exact_topk.exact_topk(df)) == sorted(want, key=repr)
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumns({n: F.lit(1) for n in ("v", "dim", "shard", "piece", "block", "rank", "score")})
+    assert rows(exact_topk.exact_topk(df)) == brute_topk(data)
     assert exact_topk.exact_topk(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e3, 1e5, 2e6])
+def test_exact_topk_of_large_components(spark, monkeypatch, size):
+    """Sums beyond 2^53 are exact. Steps of 1 tell neighbouring scores apart that float64 can't."""
+    monkeypatch.setattr(exact_topk, "SHARD", 50)
+    rng = np.random.default_rng(3)
+    base = (rng.integers(-size, size, (40, 4)) + rng.integers(0, 1024, (40, 4)) / 1024).tolist()
+    data = [(i, base[i % 40][:3] + [base[i % 40][3] + i // 40 / 1024]) for i in range(201)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    assert rows(exact_topk.exact_topk(df)) == brute_topk(data)
+
+
+def test_scores_beyond_64_bits_are_cut():
+    far = np.array([[1 << 62, 1 << 62], [-(1 << 62), -(1 << 62)], [1, 0]])
+    assert exact_topk.products(far, np.array([[8, 8], [1, 0]])).tolist() == [[exact_topk.HIGH, 1 << 62], [exact_topk.LOW, -(1 << 62)], [8, 1]]
+
+
+def test_shards_in_space_are_left_out(spark):
+    """Of well separated clusters only the query's own can hold its best."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(8, 8)) * 50_000
+    rows_ = np.concatenate([c + rng.normal(size=(60, 8)) * 1000 for c in centres]).astype(np.int64)
+    splits = exact_topk.median_splits(rows_, 8)
+    at = exact_topk.shard_of(splits, rows_)
+    assert 4 <= len(np.unique(at)) <= 8 and np.bincount(at).max() <= 200
+    own = [rows_[at == s] for s in np.unique(at)]
+    bounds = exact_topk.bounds_of(np.array([x.min(axis=0) for x in own]), np.array([x.max(axis=0) for x in own]), rows_[::7])
+    scores = exact_topk.products(rows_, rows_[::7])
+    kth = np.sort(scores, axis=0)[-11]
+    assert (bounds >= kth[:, None]).mean() < 0.6
+    for s, x in zip(np.unique(at), own):
+        assert (exact_topk.products(x, rows_[::7]).max(axis=0) <= bounds[:, list(np.unique(at)).index(s)]).all()
+
+
 # ---- html ----------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><script>var x = "</p>";</script></head><body>
