@@ -1,14 +1,21 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
-A word is the bag of its byte n-grams (3 to 6, with word edges); n-grams are
+A word is the bag of its byte n-grams (3 to 8, with word edges); n-grams are
 hashed to rows of one embedding table. The mean of a window's word vectors goes
-into a two-class softmax. Table and softmax are trained jointly in numpy. A
-text's score comes from its most toxic windows of `WINDOW` words, so a few words
+into a two-class softmax. Table and softmax are trained jointly in numpy, by Adam's steps from a random start: nothing but this
+training says which n-grams are toxic. A
+text's logit in training is the soft maximum over its windows of `WINDOW` words, which sharpens from their mean to nearly the
+largest, and its score comes from its most toxic windows, so a few words
 in a long text count. Unseen misspellings share n-grams with known words.
 
+Only labelled rows outside the held-out fold are learned from, at most `SAMPLE` of each class, and of these whole texts of
+`SAMPLE_BYTES` a class. A fifth of them is kept apart to calibrate the scores.
+
 Cases: a null or empty text has a score from the intercept alone; texts of any
 length are read whole; ties and repeated rows score alike; without labelled
-rows of both classes every score is 0.5; labels of unknown documents are ignored.
+rows of both classes every score is 0.5; labels of unknown documents and null labels are ignored; of a document's several labels
+the toxic one counts; a null id has no fold (held_out is null) and a score like others; an empty table gives an empty table;
+extra columns, whatever their names, are not read, and pass through `drop_toxic`.
 """
 
 from __future__ import annotations
@@ -28,10 +35,9 @@ TABLE_BITS = 19
 DIMENSION = 6
 #: Bounds of the training sample: labelled documents of each class, and bytes of their texts, which are whole.
 SAMPLE, SAMPLE_BYTES = 2500, 16 << 20
-#: Words of the windows of one training step: a batch with more is taken in several.
-STEP_WORDS = 1 << 15
-RARE = 0.004
-EPOCHS, RATE, BATCH = 3, 0.01, 12
+#: Training: words of a step (fewer, where a pass would have under STEPS), passes, step size, share of the texts that must use an n-gram, weight decay, and the soft
+#: maximum's sharpness in the first and the last pass.
+STEP_WORDS, STEPS, EPOCHS, RATE, RARE, DECAY, SHARPNESS = 1 << 14, 64, 5, 0.02, 0.0015, 1e-5, (0.5, 3.0)
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -100,121 +106,147 @@ def strongest(model_logit: np.ndarray, bias: float, data: np.ndarray, offsets: n
     return top, few, made
 
 
-def odds(texts: list[str], toxic: np.ndarray) -> np.ndarray:
-    """Of each table row, the smoothed log odds that a text with it is toxic, less 1 (what chance
-    brings); 0 for rows that fewer than RARE of the texts use, which would memorise single texts."""
-    seen = np.zeros((2, 1 << TABLE_BITS))
-    for text, y in zip(texts, toxic):
-        padded, starts, ends, _ = word_grams(*tk.raw(pa.array([text], pa.string())))
-        inside = np.zeros(len(padded) + 1, dtype=np.int64)
-        for n in GRAMS:
-            own = np.maximum(0, ends - starts + 3 - n)
-            inside[:] = 0
-            np.add.at(inside, starts, own > 0)
-            np.add.at(inside, starts + own, -(own > 0).astype(np.int64))
-            seen[int(y), np.unique(rows_of(padded, n)[np.cumsum(inside)[: len(padded) - max(GRAMS)] > 0])] += 1
-    n = np.bincount(toxic, minlength=2)
-    often = seen.sum(axis=0) >= max(5, RARE * len(texts))
-    lean = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
-    return often * np.sign(lean) * np.maximum(0, np.abs(lean) - 1)
-
-
 def strongest_of(logit: np.ndarray, bias: float, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same for a list of texts, a chunk at a time."""
     found = [strongest(logit, bias, data, offsets) for _, _, data, offsets in tk.chunks(pa.array(texts, pa.string()))]
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 7) -> Model:
-    """Fit table and softmax on windows, from a start at each n-gram's log odds.
-    Of a toxic text only its strongest window counts as toxic. A fifth of the
-    texts is kept apart to calibrate scores; prior is the share of toxic texts
+def vocabulary(texts: list[str]):
+    """Every text's words by number, the texts' first words, and of each distinct word the rows of its n-grams."""
+    known: dict[int, int] = {}
+    pieces: list[bytes] = []
+    words, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for _, _, data, offsets in tk.chunks(pa.array(texts, pa.string())):
+        starts, ends, firsts = tk.words(data, offsets)
+        counts.append(np.diff(firsts))
+        if not len(starts):
+            continue
+        values, index, inverse = np.unique(tk.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        number = np.empty(len(values), np.int32)
+        for i, (value, at) in enumerate(zip(values.tolist(), index.tolist())):
+            if value not in known:
+                known[value] = len(pieces)
+                pieces.append(data[starts[at] : ends[at]].tobytes())
+            number[i] = known[value]
+        words.append(number[inverse])
+    joined = np.frombuffer(b" ".join(pieces), np.uint8)
+    padded, starts, ends, _ = word_grams(joined, np.array([0, len(joined)]))
+    rows, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in GRAMS:
+        own = np.maximum(0, ends - starts + 3 - n)
+        who, at = expanded(starts, own)
+        rows.append(rows_of(padded, n)[at].astype(np.int64))
+        owner.append(who)
+    rows, owner = np.concatenate(rows), np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(words), np.concatenate([[0], np.cumsum(np.concatenate(counts))]), rows[order], owner[order], len(pieces)
+
+
+def expanded(begin: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i the numbers begin[i], begin[i] + 1, ... (counts[i] of them), with their i."""
+    own = np.repeat(np.arange(len(counts)), counts)
+    return own, np.arange(len(own)) + np.repeat(begin - np.cumsum(counts) + counts, counts)
+
+
+class Adam:
+    """Adaptive steps of an array, or of some of its rows."""
+
+    def __init__(self, value: np.ndarray, rate: float) -> None:
+        self.value, self.rate = value, rate
+        self.mean, self.square, self.steps = np.zeros_like(value), np.zeros_like(value), 0
+
+    def step(self, grad: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
+        self.steps += 1
+        self.mean[rows] = 0.9 * self.mean[rows] + 0.1 * grad
+        self.square[rows] = 0.99 * self.square[rows] + 0.01 * grad * grad
+        fix = np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
+        self.value[rows] -= self.rate * fix * self.mean[rows] / (np.sqrt(self.square[rows]) + 1e-6)
+
+
+def learn(texts: list[str], toxic: np.ndarray, rng: np.random.Generator, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Each table row's logit and the bias, after joint training of table and softmax from a random start.
+
+    A text's logit is the soft maximum of its windows' logits: their mean at first, when nothing is known
+    yet, and close to the largest in the end, as few words of a toxic text are toxic.
+    """
+    word, first, rows, owner, n_words = vocabulary(texts)
+    text = np.repeat(np.arange(len(texts)), np.diff(first))
+    # n-grams that few texts use would only memorise these
+    pairs = np.unique(text.astype(np.int64) * n_words + word)
+    holders = np.bincount(pairs % n_words, minlength=n_words) if n_words else np.zeros(0, np.int64)
+    used = np.bincount(rows, holders[owner], minlength=1 << TABLE_BITS) >= max(3, RARE * len(texts))
+    share = (1 / np.maximum(np.bincount(owner, minlength=n_words), 1)).astype(np.float32)
+    keep = used[rows]
+    rows, owner = rows[keep], owner[keep]
+    kept, rows = np.unique(rows, return_inverse=True)
+    begin = np.searchsorted(owner, np.arange(n_words + 1))
+    table = Adam(rng.normal(0, 0.1, (len(kept), DIMENSION)).astype(np.float32), RATE)
+    softmax = Adam(rng.normal(0, 1, (2, DIMENSION)).astype(np.float32), RATE)
+    bias = Adam(np.zeros(2, np.float32), RATE)
+    weight = np.where(toxic == 1, 0.5 / max(toxic.mean(), 1e-9), 0.5 / max(1 - toxic.mean(), 1e-9))
+    some = np.flatnonzero(np.diff(first) > 0)
+    step = max(1, min(STEP_WORDS, len(word) // STEPS))
+    for epoch in range(epochs):
+        sharp = SHARPNESS[0] + (SHARPNESS[1] - SHARPNESS[0]) * epoch / max(1, epochs - 1)
+        order = rng.permutation(some)
+        sizes = np.cumsum(np.diff(first)[order])
+        for own in np.split(order, np.flatnonzero(np.diff(sizes // step)) + 1):
+            counts = first[own + 1] - first[own]
+            _, at = expanded(first[own], counts)
+            here, local = np.unique(word[at], return_inverse=True)
+            # word vectors: the mean of their n-grams' rows
+            entry_word, entry = expanded(begin[here], begin[here + 1] - begin[here])
+            scale = share[here][entry_word]
+            gram = rows[entry]
+            vectors = np.stack([np.bincount(entry_word, table.value[gram, d] * scale, minlength=len(here)) for d in range(DIMENSION)], axis=1)
+            a, b, window = windows(np.concatenate([[0], np.cumsum(counts)]))
+            total = np.concatenate([np.zeros((1, DIMENSION)), np.cumsum(vectors[local], axis=0)])
+            width = (b - a)[:, None]
+            mean = (total[b] - total[a]) / width
+            both = mean @ softmax.value.T + bias.value
+            logit = both[:, 1] - both[:, 0]
+            made = np.diff(window)
+            of = np.repeat(np.arange(len(own)), made)
+            top = np.maximum.reduceat(logit, window[:-1])
+            pull = np.exp(sharp * (logit - top[of]))
+            sums = np.add.reduceat(pull, window[:-1])
+            value = top + np.log(sums / made) / sharp
+            error = weight[own] * (1 / (1 + np.exp(-np.clip(value, -30, 30))) - toxic[own]) / len(own)
+            back = error[of] * pull / sums[of]
+            back = np.stack([-back, back], axis=1)
+            # to each word of a window its share, then to the word's n-grams
+            change = np.zeros((len(at) + 1, DIMENSION))
+            slope = back @ softmax.value / width
+            for d in range(DIMENSION):
+                change[:, d] = np.bincount(a, slope[:, d], minlength=len(at) + 1) - np.bincount(b, slope[:, d], minlength=len(at) + 1)
+            flow = np.cumsum(change[:-1], axis=0)
+            by_word = np.stack([np.bincount(local, flow[:, d], minlength=len(here)) for d in range(DIMENSION)], axis=1)
+            touched = np.flatnonzero(np.bincount(gram, minlength=len(kept)))
+            grad = np.stack([np.bincount(gram, by_word[entry_word, d] * scale, minlength=len(kept))[touched] for d in range(DIMENSION)], axis=1)
+            table.step((grad + DECAY * table.value[touched]).astype(np.float32), touched)
+            softmax.step((back.T @ mean).astype(np.float32))
+            bias.step(back.sum(axis=0).astype(np.float32))
+    out = np.zeros(1 << TABLE_BITS, np.float32)
+    out[kept] = table.value @ (softmax.value[1] - softmax.value[0])
+    return out, float(bias.value[1] - bias.value[0])
+
+
+def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 7, epochs: int = EPOCHS) -> Model:
+    """Learn table and softmax; a fifth of each class is kept apart to calibrate scores. prior is the share of toxic texts
     among all labelled ones."""
     rng = np.random.default_rng(seed)
-    size = 1 << TABLE_BITS
-    apart = rng.random(len(texts)) < 0.2
+    apart = np.zeros(len(texts), dtype=bool)
+    for label in (0, 1):
+        apart[rng.permutation(np.flatnonzero(toxic == label))[::5]] = True
     kept, kept_toxic = [t for t, x in zip(texts, apart) if x], toxic[apart]
     texts, toxic = [t for t, x in zip(texts, apart) if not x], toxic[~apart]
-    slope = rng.choice([-1.0, 1.0], DIMENSION).astype(np.float32)
-    start = odds(texts, toxic)
-    used = np.ones(size, dtype=bool)
-    # stretched and shifted, so that the strongest windows start as a fitted softmax
-    top, few, made = strongest_of(start, 0.0, texts)
-    stretch = calibrate(top, np.zeros(len(top)), made, toxic, prior)
-    start = start * max(1.0, stretch[0])
-    table = ((start[:, None] * slope[None, :] / DIMENSION + rng.normal(0, 0.01, (size, DIMENSION))) * used[:, None]).astype(np.float32)
-    seen, slope_seen, bias, bias_seen = np.full((size, DIMENSION), 1e-6, np.float32), np.full(DIMENSION, 1e-6, np.float32), float(stretch[3]), 1e-6
-    order = np.arange(len(texts))
-    share = max(1e-3, min(1 - 1e-3, float(toxic.mean())))
-    for _ in range(EPOCHS):
-        rng.shuffle(order)
-        for at in range(0, len(order), BATCH):
-            own = order[at : at + BATCH]
-            data, offsets = tk.raw(pa.array([texts[i] for i in own], pa.string()))
-            padded, starts, ends, firsts = word_grams(data, offsets)
-            a, b, first = windows(firsts)
-            if not len(a):
-                continue
-            text = np.repeat(np.arange(len(own)), np.diff(first))
-            y = toxic[own][text].astype(np.float64)
-            if toxic[own].any():
-                value = strongest_windows(table @ slope, padded, starts, ends, a, b)
-                keep = y == 0
-                for i in np.flatnonzero(toxic[own]):
-                    if first[i] < first[i + 1]:
-                        keep[first[i] + int(np.argmax(value[first[i] : first[i + 1]]))] = True
-                a, b, y = a[keep], b[keep], y[keep]
-            grams = np.zeros(len(starts))
-            for n in GRAMS:
-                grams += np.maximum(0, ends - starts + 3 - n)
-            rows = [rows_of(padded, n) for n in GRAMS]
-            # a long text's windows make several steps, so that memory is bounded and no window is left out
-            cuts = np.flatnonzero(np.diff(np.cumsum(b - a) // STEP_WORDS)) + 1
-            for a, b, y in zip(*(np.split(x, cuts) for x in (a, b, y))):
-                # the n-grams of all words of all windows, with their weight in the window's mean
-                sizes = b - a
-                word = np.repeat(a - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-                window = np.repeat(np.arange(len(a)), sizes)
-                ids, belongs, share_of = [], [], []
-                for n, found in zip(GRAMS, rows):
-                    own_n = np.maximum(0, ends - starts + 3 - n)[word]
-                    pos = np.repeat(starts[word] - np.concatenate([[0], np.cumsum(own_n)[:-1]]), own_n) + np.arange(own_n.sum())
-                    ids.append(found[pos])
-                    belongs.append(np.repeat(window, own_n))
-                    share_of.append(np.repeat(1 / (grams[word] * sizes[window]), own_n))
-                ids, belongs, share_of = np.concatenate(ids), np.concatenate(belongs), np.concatenate(share_of)
-                mean = np.stack([np.bincount(belongs, table[ids, d] * share_of, minlength=len(a)) for d in range(DIMENSION)], axis=1)
-                p = 1 / (1 + np.exp(-np.clip(bias + mean @ slope, -30, 30)))
-                weight = np.where(y == 1, 1 / share, 1 / (1 - share))
-                error = (p - y) * weight / len(a)
-                pull = np.bincount(ids, error[belongs] * share_of, minlength=size)
-                touched = np.flatnonzero(pull * used)
-                grad = (pull[touched, None] * slope[None, :]).astype(np.float32)
-                seen[touched] += grad * grad
-                table[touched] -= RATE * grad / np.sqrt(seen[touched])
-                g = (mean.T @ error).astype(np.float32)
-                slope_seen += g * g
-                slope -= RATE * g / np.sqrt(slope_seen)
-                g = float(error.sum())
-                bias_seen += g * g
-                bias -= 0.1 * g / bias_seen**0.5
-    logit = (table @ slope).astype(np.float32)
-    if min(np.bincount(kept_toxic, minlength=2)) < 20:
+    logit, bias = learn(texts, toxic, rng, epochs)
+    if min(np.bincount(kept_toxic, minlength=2)) < 20 and len(set(toxic.tolist())) == 2:
         kept, kept_toxic = texts + kept, np.concatenate([toxic, kept_toxic])
     return logit, bias, calibrate(*strongest_of(logit, bias, kept), kept_toxic, prior)
 
 
-def strongest_windows(logit: np.ndarray, padded: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    total, count = np.zeros(len(starts)), np.zeros(len(starts))
-    for n in GRAMS:
-        sums = np.concatenate([[0.0], np.cumsum(logit[rows_of(padded, n)], dtype=np.float64)])
-        own = np.maximum(0, ends - starts + 3 - n)
-        total += sums[starts + own] - sums[starts]
-        count += own
-    word = np.concatenate([[0.0], np.cumsum(total / np.maximum(count, 1))])
-    return (word[b] - word[a]) / np.maximum(b - a, 1)
-
-
 def features(top: np.ndarray, few: np.ndarray, made: np.ndarray) -> np.ndarray:
     return np.stack([np.clip(top, -50, 50), np.clip(few, -50, 50), np.log1p(made), np.ones(len(top))], axis=1)
 

@@ -3,6 +3,7 @@ import binascii
 import hashlib
 import json
 import math
+import os
 import re
 import zlib
 
@@ -370,3 +371,31 @@ def test_mixing(spark, docs, odd, none):
     many = spark.createDataFrame([(i, "w " * 50, "abc"[i % 3], 1) for i in range(300)], "doc_id long, text string, source string, size int")
     mean = {r.source: r.p for r in mixing.mix(many, weights=(1,)).groupBy("source").agg(F.avg("position").alias("p")).collect()}
     assert mean["a"] < mean["b"] < mean["c"]
+
+
+def area(scores, toxic):
+    order = np.argsort(scores, kind="stable")
+    rank = np.empty(len(scores))
+    rank[order] = np.arange(1, len(scores) + 1)
+    n = toxic.sum()
+    return (rank[toxic == 1].sum() - n * (n + 1) / 2) / (n * (len(toxic) - n))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_training_carries_the_result():
+    """Held-out accuracy on labelled documents; without training the same model tells nothing."""
+    import pandas as pd
+    import pyarrow as pa
+
+    read = lambda name, columns: pd.read_parquet(f"/root/testdata/sf0.1/{name}.parquet", columns=columns).drop_duplicates("doc_id")
+    rows_ = read("labels", ["doc_id", "toxic"]).merge(read("documents", ["doc_id", "text"]), on="doc_id").dropna()
+    held = np.array([zlib.crc32(str(i).encode()) % 3 == 1 for i in rows_.doc_id])
+    toxic, texts = rows_.toxic.to_numpy().astype(int), rows_.text.to_numpy()
+    found = {}
+    for epochs in (0, toxicity.EPOCHS):
+        model = toxicity.train(texts[~held].tolist(), toxic[~held], float(toxic[~held].mean()), epochs=epochs)
+        found[epochs] = toxicity.score(model, pa.array(texts[held].tolist()))
+    assert abs(area(found[0], toxic[held]) - 0.5) < 0.1
+    trained = found[toxicity.EPOCHS]
+    assert area(trained, toxic[held]) >= 0.94
+    assert (trained[toxic[held] == 0] >= 0.7).mean() < 0.02
