@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm import line_dedup, ngram_join, substring_dedup, suffix_dedup
 from tests.llm.conftest import prose, rows
@@ -138,6 +139,101 @@ def test_line_dedup(docs, odd, none):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def brute_lines(data, min_docs=5, num=80, den=100, leaf_lines=1024):
+    """Per row the lines that are left, by the tree as the docstring tells it."""
+    import pyarrow as pa
+
+    from tallyspark.llm import textkernel as tk
+
+    def form(line):
+        return tuple("#" if re.search("[0-9]", w) else w for w in words(line))
+
+    def hashed(line):
+        raw = line.encode()
+        return int(line_dedup.parsed(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[5][0].view(np.int64))
+
+    holders, of, count = defaultdict(set), {}, defaultdict(int)
+    for d, t in data:
+        for f, line in {form(line): line for line in (t or "").split("\n") if d is not None and words(line)}.items():
+            holders[f].add(d)
+            of[f] = hashed(line)
+            count[f] += 1
+    leaves = defaultdict(list)
+    for f in holders:
+        leaves[len(f), f[:3]].append(f)
+    leaves = {k: v for k, v in leaves.items() if len({d for f in v for d in holders[f]}) >= min_docs}
+    found, depth = [], 3
+    while leaves:
+        split = defaultdict(list)
+        widest = max((len(f) for own in leaves.values() if len(own) > leaf_lines for f in own), default=0)
+        for key, own in leaves.items():
+            if len(own) > leaf_lines and depth < widest:
+                for f in own:
+                    split[key, 0, f[: 2 * depth]].append(f)
+                    split[key, 1, f[-2 * depth :]].append(f)
+                continue
+            grown = []
+            for f in sorted(own, key=lambda f: (-count[f], of[f])):
+                same = [sum(a == b for a, b in zip(g, f)) for g, _ in grown]
+                best = same.index(max(same)) if same else 0
+                if same and den * same[best] >= num * len(f):
+                    grown[best] = (tuple(a if a == b else None for a, b in zip(grown[best][0], f)), [*grown[best][1], f])
+                else:
+                    grown.append((f, [f]))
+            found += [members for _, members in grown]
+        leaves, depth = split, 2 * depth
+    lost = defaultdict(set)
+    for members in found:
+        docs_ = {d for f in members for d in holders[f]}
+        if len(docs_) >= min_docs:
+            for f in members:
+                for d in holders[f] - {min(docs_)}:
+                    lost[d].add(f)
+    return sorted(((d, sum(bool(words(x)) for x in (t or "").split("\n")), sum(bool(words(x)) and form(x) in lost[d] for x in (t or "").split("\n")) if d is not None else 0) for d, t in data), key=repr)
+
+
+def line_data(seed):
+    """Templates with fields at the front, in the middle and at the end, and plain lines."""
+    import random
+
+    rng = random.Random(seed)
+    pool = [prose(5000 + i, 1) for i in range(40)]
+    base = [prose(6000 + i, n).replace("\n", " ").split() for i, n in enumerate((4, 7, 9, 12, 15, 20, 20, 30))]
+    data = []
+    for d in range(60):
+        lines = []
+        for b in rng.sample(base, 5):
+            own = list(b)
+            for _ in range(rng.randint(0, 3)):
+                own[rng.randrange(len(own))] = rng.choice(pool)
+            if rng.random() < 0.3:
+                own[rng.randrange(len(own))] = str(rng.randint(0, 99))
+            lines.append(" ".join(own))
+        lines.insert(2, "")
+        data.append((d, "\n".join(lines + [prose(7000 + d, 10)])))
+    return data + [(3, data[3][1]), (None, data[5][1]), (90, None), (91, "")]
+
+
+@pytest.mark.parametrize("leaf_lines", [1024, 6, 1])
+def test_line_dedup_matches_brute_force(spark, monkeypatch, leaf_lines):
+    monkeypatch.setattr(line_dedup, "LEAF_LINES", leaf_lines)
+    data = line_data(leaf_lines)
+    got = line_dedup.line_dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(3))
+    want = brute_lines(data, leaf_lines=leaf_lines)
+    assert rows(got.select("doc_id", "n_lines", "n_dropped")) == want
+    assert sum(w[2] for w in want) > 40
+
+
+def test_drop_lines_with_clashing_names(spark):
+    data = [(i, f"{prose(100 + i, 9)}\nall rights reserved by the owner of this page {i}", i) for i in range(8)]
+    names = ("n_lines", "n_dropped", "lines", "of", "doc", "line", "leaf", "template", "tokens", "c0", "c1", "first", "salt", "docs")
+    df = spark.createDataFrame(data, "doc_id long, text string, n_chars long").select("*", *[F.lit(n).alias(n) for n in names])
+    got = line_dedup.drop_lines(df)
+    assert got.columns == df.columns and got.schema.simpleString() == df.schema.simpleString()
+    for r in got.collect():
+        assert ("rights" in r.text) == (r.doc_id == 0) and r.n_chars == len(r.text) and all(r[n] == n for n in names)
+
+
 def test_templates_with_a_varying_word(spark):
     names = "anna bert carl dora emil fred gina hans".split()
     data = [(i, f"first unlike line {chr(97 + i)} {chr(98 + i)}x\nthis page was last changed by user {n} on the main server today") for i, n in enumerate(names)]
