@@ -197,6 +197,35 @@ def test_html_regions(page, want):
     assert html_text.extract(page) == want
 
 
+LONG = "A paragraph of the article that says a good deal about its subject, in several clauses, and goes on for a while. " * 3
+LONG = LONG.strip()
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # words that only hint: the text-to-tag ratio decides
+        (f"<article><h1>T</h1><p>{LONG}</p><p id='survey-results'>{LONG}</p><section class='login-history'><p>{LONG}</p><p>{LONG}</p></section></article>", ["T"] + [LONG] * 4),
+        (f"<article><p>{LONG}</p><div class='login'>Name <input> <button>Log in</button></div><ul class='toc'><li><a href=#a>One</a><li><a href=#b>Two</a></ul><div class=search>Find it</div></article>", [LONG]),
+        (f"<article><p>{LONG}</p><div class='poll'><p>{LONG}</p><input type=radio></div></article>", [LONG]),
+        (f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p></article>", [f"{LONG} x=2"]),
+        # articles side by side, teasers of others, and one in another
+        (f"<main><article><h2>A</h2><p>{LONG}</p></article><article><h2>B</h2><p>{LONG}</p></article></main>", ["A", LONG, "B", LONG]),
+        (f"<body><article><h2>A</h2><p>{LONG}</p><p>{LONG}</p></article><article><h2>More</h2><p>Read this, too</p></article></body>", ["A", LONG, LONG]),
+        (f"<article><h1>A</h1><p>{LONG}</p><article class=comment><p>{LONG}</p></article></article>", ["A", LONG]),
+        # no article tag: the ratios find the container
+        (f"<body><div><ul><li><a href=/>Home</a><li><a href=/b>News</a><li><a href=/c>About</a></ul></div><div><h1>T</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div><div>Imprint</div></body>", ["T", LONG, "Short.", LONG]),
+        (f"<body><div><p><a href=/>Home</a><p><a href=/b>News</a><p><a href=/c>About us</a><p>{LONG}<p>See <a href=/d>this</a><p>{LONG}</div></body>", [LONG, "See this", LONG]),
+        (f"<body><div class=cookie-consent><p>{LONG}</p></div><div id=text><p>{LONG}</p><p>{LONG}</p></div><div id=comments><p>{LONG}</p><p>{LONG}</p></div></body>", [LONG, LONG]),
+        ("<div>" * 10_000 + f"<p>{LONG}", [LONG]),
+        ("<span>" * 10_000 + f"<p>{LONG}</p>" + "</i>" * 10_000, [LONG]),
+        (f"<ul>{'<li>x' * 10_000}</ul><article><p>{LONG}</article>", [LONG]),
+    ],
+)
+def test_html_labelled_pages(page, want):
+    assert html_text.extract(page).split("\n") == want
+
+
 @pytest.mark.parametrize(
     "before",
     [
@@ -215,7 +244,7 @@ def test_html_closes_cells_and_items():
     parser.feed("<table><tr><td>a<table><tr><td>b<td>c</table><td>d<tr><th>e<tbody><tr><td>f</table><ul><li>g<ul><li>h<li>i</ul><li>j</ul><dl><dt>k<dd>l</dl>m")
     parser.close()
     parser.end_line()
-    assert [(t, len(path)) for t, _, path, _ in parser.lines] == [("a", 1), ("b", 2), ("c", 2), ("d", 1), ("e", 0), ("f", 1), *[(x, 0) for x in "ghijklm"]]
+    assert [(line.text, len(line.path)) for line in parser.lines] == [("a", 1), ("b", 2), ("c", 2), ("d", 1), ("e", 0), ("f", 1), *[(x, 0) for x in "ghijklm"]]
     assert not parser.open and not parser.path
 
 
