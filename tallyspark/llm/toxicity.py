@@ -112,11 +112,11 @@ def strongest_of(logit: np.ndarray, bias: float, texts: list[str]) -> tuple[np.n
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def vocabulary(texts: list[str]):
-    """Every text's words by number, the texts' first words, and of each distinct word the rows of its n-grams."""
+def vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """Every text's words by number, the texts' first words, the distinct words, and in how many texts each is."""
     known: dict[int, int] = {}
     pieces: list[bytes] = []
-    words, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    words, counts, holders = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     for _, _, data, offsets in tk.chunks(pa.array(texts, pa.string())):
         starts, ends, firsts = tk.words(data, offsets)
         counts.append(np.diff(firsts))
@@ -130,17 +130,40 @@ def vocabulary(texts: list[str]):
                 pieces.append(data[starts[at] : ends[at]].tobytes())
             number[i] = known[value]
         words.append(number[inverse])
+        text = np.repeat(np.arange(len(offsets) - 1), counts[-1])
+        holders.append(number[np.unique(text * len(values) + inverse) % len(values)])
+    return np.concatenate(words), np.concatenate([[0], np.cumsum(np.concatenate(counts))]), pieces, np.bincount(np.concatenate(holders), minlength=len(pieces))
+
+
+def kept_grams(pieces: list[bytes], holders: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the n-grams that enough texts use: the table rows, each word's entries in these rows and where they begin, and 1 over the
+    number of all n-grams of the word. Rarer ones would only memorise single texts."""
     joined = np.frombuffer(b" ".join(pieces), np.uint8)
     padded, starts, ends, _ = word_grams(joined, np.array([0, len(joined)]))
-    rows, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    uses, total = np.zeros(1 << TABLE_BITS), np.zeros(len(pieces))
     for n in GRAMS:
         own = np.maximum(0, ends - starts + 3 - n)
         who, at = expanded(starts, own)
-        rows.append(rows_of(padded, n)[at].astype(np.int64))
-        owner.append(who)
-    rows, owner = np.concatenate(rows), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    return np.concatenate(words), np.concatenate([[0], np.cumsum(np.concatenate(counts))]), rows[order], owner[order], len(pieces)
+        uses += np.bincount(rows_of(padded, n)[at], holders[who], minlength=len(uses))
+        total += own
+    number = np.full(len(uses), -1, np.int32)
+    kept = np.flatnonzero(uses >= least)
+    number[kept] = np.arange(len(kept))
+    rows, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    # in blocks of words, as all entries at once, with their order, would be many times the texts
+    for at in range(0, len(pieces), 1 << 14):
+        begin, end = starts[at : at + (1 << 14)], ends[at : at + (1 << 14)]
+        part = padded[begin[0] : end[-1] + 2 + max(GRAMS)]
+        found, owner = [], []
+        for n in GRAMS:
+            who, place = expanded(begin - begin[0], np.maximum(0, end - begin + 3 - n))
+            row = number[rows_of(part, n)[place]]
+            found.append(row[row >= 0])
+            owner.append(who[row >= 0])
+        found, owner = np.concatenate(found), np.concatenate(owner)
+        rows.append(found[np.argsort(owner, kind="stable")])
+        sizes.append(np.bincount(owner, minlength=len(begin)))
+    return kept, np.concatenate(rows), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), (1 / np.maximum(total, 1)).astype(np.float32)
 
 
 def expanded(begin: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,17 +193,8 @@ def learn(texts: list[str], toxic: np.ndarray, rng: np.random.Generator, epochs:
     A text's logit is the soft maximum of its windows' logits: their mean at first, when nothing is known
     yet, and close to the largest in the end, as few words of a toxic text are toxic.
     """
-    word, first, rows, owner, n_words = vocabulary(texts)
-    text = np.repeat(np.arange(len(texts)), np.diff(first))
-    # n-grams that few texts use would only memorise these
-    pairs = np.unique(text.astype(np.int64) * n_words + word)
-    holders = np.bincount(pairs % n_words, minlength=n_words) if n_words else np.zeros(0, np.int64)
-    used = np.bincount(rows, holders[owner], minlength=1 << TABLE_BITS) >= max(3, RARE * len(texts))
-    share = (1 / np.maximum(np.bincount(owner, minlength=n_words), 1)).astype(np.float32)
-    keep = used[rows]
-    rows, owner = rows[keep], owner[keep]
-    kept, rows = np.unique(rows, return_inverse=True)
-    begin = np.searchsorted(owner, np.arange(n_words + 1))
+    word, first, pieces, holders = vocabulary(texts)
+    kept, rows, begin, share = kept_grams(pieces, holders, max(3, RARE * len(texts)))
     table = Adam(rng.normal(0, 0.1, (len(kept), DIMENSION)).astype(np.float32), RATE)
     softmax = Adam(rng.normal(0, 1, (2, DIMENSION)).astype(np.float32), RATE)
     bias = Adam(np.zeros(2, np.float32), RATE)
@@ -295,11 +309,12 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1) -> Mod
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
     sofar = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("toxic").orderBy(*order, "text").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("bytes", sofar).where(F.col("bytes") <= SAMPLE_BYTES).select("doc_id", "text", "toxic").orderBy("doc_id", "text").limit(2 * SAMPLE).collect()
-    toxic = np.array([r.toxic for r in rows])
+    toxic, texts = np.array([r.toxic for r in rows]), [r.text for r in rows]
+    del rows
     if len(set(toxic.tolist())) < 2:
         return None
     prior = known.agg(F.avg("toxic")).first()[0]
-    return train([r.text for r in rows], toxic, float(prior))
+    return train(texts, toxic, float(prior))
 
 
 def apply(docs: DataFrame, model: Model | None, threshold: float = 0.7, fold: int = 3, held: int = 1) -> DataFrame:
