@@ -20,6 +20,7 @@ extra columns, whatever their names, are not read, and pass through `drop_toxic`
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -112,58 +113,67 @@ def strongest_of(logit: np.ndarray, bias: float, texts: list[str]) -> tuple[np.n
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+#: Distinct words, one after another with a space between: the bytes, and where each word starts and ends.
+Spelled = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def spelled(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> Spelled:
+    ends = np.cumsum(sizes + 1) - 1
+    out = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
+    for at in range(0, len(ends), 1 << 14):
+        part = slice(at, at + (1 << 14))
+        out[expanded(ends[part] - sizes[part], sizes[part])[1]] = data[expanded(begin[part], sizes[part])[1]]
+    return out, ends - sizes, ends
+
+
+def vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, Spelled, np.ndarray]:
     """Every text's words by number, the texts' first words, the distinct words, and in how many texts each is."""
-    known: dict[int, int] = {}
-    pieces: list[bytes] = []
-    words, counts, holders = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-    for _, _, data, offsets in tk.chunks(pa.array(texts, pa.string())):
-        starts, ends, firsts = tk.words(data, offsets)
+    column = pa.array(texts, pa.string())
+    data, offsets = tk.raw(column)
+    seen, begin, sizes, places, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [], [np.zeros(0, np.int64)]
+    for row, _, part, edges in tk.chunks(column):
+        starts, ends, firsts = tk.words(part, edges)
         counts.append(np.diff(firsts))
-        if not len(starts):
-            continue
-        values, index, inverse = np.unique(tk.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        number = np.empty(len(values), np.int32)
-        for i, (value, at) in enumerate(zip(values.tolist(), index.tolist())):
-            if value not in known:
-                known[value] = len(pieces)
-                pieces.append(data[starts[at] : ends[at]].tobytes())
-            number[i] = known[value]
-        words.append(number[inverse])
-        text = np.repeat(np.arange(len(offsets) - 1), counts[-1])
-        holders.append(number[np.unique(text * len(values) + inverse) % len(values)])
-    return np.concatenate(words), np.concatenate([[0], np.cumsum(np.concatenate(counts))]), pieces, np.bincount(np.concatenate(holders), minlength=len(pieces))
-
-
-def kept_grams(pieces: list[bytes], holders: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the n-grams that enough texts use: the table rows, each word's entries in these rows and where they begin, and 1 over the
-    number of all n-grams of the word. Rarer ones would only memorise single texts."""
-    joined = np.frombuffer(b" ".join(pieces), np.uint8)
-    padded, starts, ends, _ = word_grams(joined, np.array([0, len(joined)]))
-    uses, total = np.zeros(1 << TABLE_BITS), np.zeros(len(pieces))
+        if len(starts):
+            # a chunk's distinct words first, so that all words are never sorted at once
+            values, index, place = np.unique(tk.span_hashes(part, starts, ends), return_index=True, return_inverse=True)
+            seen.append(values)
+            begin.append((starts[index] + offsets[row]).astype(np.int32))
+            sizes.append((ends - starts)[index].astype(np.int32))
+            places.append(place.astype(np.int32))
+    values, index, number = np.unique(np.concatenate(seen), return_index=True, return_inverse=True)
+    n, cuts = len(values), np.cumsum([len(s) for s in seen])
+    word = np.concatenate([np.zeros(0, np.int32), *(number[cut : cut + len(s)][p].astype(np.int32) for cut, s, p in zip(cuts, seen[1:], places))])
+    first = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+    holders = np.zeros(n, np.int64)
+    for at in range(0, len(texts), 256):
+        cuts = first[at : at + 257]
+        text = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        holders += np.bincount(np.unique(text * n + word[cuts[0] : cuts[-1]]) % n, minlength=n) if n else 0
+    return word, first, spelled(data, np.concatenate(begin)[index].astype(np.int64), np.concatenate(sizes)[index].astype(np.int64)), holders
+
+
+def grams_of(words: Spelled, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in chosen, table row) of all n-grams of the chosen words."""
+    data, starts, ends = words
+    padded, starts, ends, _ = word_grams(*(lambda d: (d, np.array([0, len(d)])))(spelled(data, starts[chosen], ends[chosen] - starts[chosen])[0]))
+    owner, rows = [], []
     for n in GRAMS:
-        own = np.maximum(0, ends - starts + 3 - n)
-        who, at = expanded(starts, own)
-        uses += np.bincount(rows_of(padded, n)[at], holders[who], minlength=len(uses))
-        total += own
-    number = np.full(len(uses), -1, np.int32)
-    kept = np.flatnonzero(uses >= least)
-    number[kept] = np.arange(len(kept))
-    rows, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-    # in blocks of words, as all entries at once, with their order, would be many times the texts
-    for at in range(0, len(pieces), 1 << 14):
-        begin, end = starts[at : at + (1 << 14)], ends[at : at + (1 << 14)]
-        part = padded[begin[0] : end[-1] + 2 + max(GRAMS)]
-        found, owner = [], []
-        for n in GRAMS:
-            who, place = expanded(begin - begin[0], np.maximum(0, end - begin + 3 - n))
-            row = number[rows_of(part, n)[place]]
-            found.append(row[row >= 0])
-            owner.append(who[row >= 0])
-        found, owner = np.concatenate(found), np.concatenate(owner)
-        rows.append(found[np.argsort(owner, kind="stable")])
-        sizes.append(np.bincount(owner, minlength=len(begin)))
-    return kept, np.concatenate(rows), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), (1 / np.maximum(total, 1)).astype(np.float32)
+        who, at = expanded(starts, np.maximum(0, ends - starts + 3 - n))
+        owner.append(who)
+        rows.append(rows_of(padded, n)[at])
+    return np.concatenate(owner), np.concatenate(rows)
+
+
+def kept_rows(words: Spelled, holders: np.ndarray, least: float) -> np.ndarray:
+    """The table rows of the n-grams that enough texts use. Rarer ones would only memorise single texts."""
+    uses = np.zeros(1 << TABLE_BITS)
+    # in blocks of words, as the n-grams of all words would be many times the texts
+    for at in range(0, len(holders), 1 << 14):
+        own = np.arange(at, min(at + (1 << 14), len(holders)))
+        owner, rows = grams_of(words, own)
+        uses += np.bincount(rows, holders[own][owner], minlength=len(uses))
+    return np.flatnonzero(uses >= least)
 
 
 def expanded(begin: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,8 +203,11 @@ def learn(texts: list[str], toxic: np.ndarray, rng: np.random.Generator, epochs:
     A text's logit is the soft maximum of its windows' logits: their mean at first, when nothing is known
     yet, and close to the largest in the end, as few words of a toxic text are toxic.
     """
-    word, first, pieces, holders = vocabulary(texts)
-    kept, rows, begin, share = kept_grams(pieces, holders, max(3, RARE * len(texts)))
+    word, first, words, holders = vocabulary(texts)
+    kept = kept_rows(words, holders, max(3, RARE * len(texts)))
+    number = np.full(1 << TABLE_BITS, -1, np.int32)
+    number[kept] = np.arange(len(kept))
+    del texts, holders
     table = Adam(rng.normal(0, 0.1, (len(kept), DIMENSION)).astype(np.float32), RATE)
     softmax = Adam(rng.normal(0, 1, (2, DIMENSION)).astype(np.float32), RATE)
     bias = Adam(np.zeros(2, np.float32), RATE)
@@ -210,9 +223,11 @@ def learn(texts: list[str], toxic: np.ndarray, rng: np.random.Generator, epochs:
             _, at = expanded(first[own], counts)
             here, local = np.unique(word[at], return_inverse=True)
             # word vectors: the mean of their n-grams' rows
-            entry_word, entry = expanded(begin[here], begin[here + 1] - begin[here])
-            scale = share[here][entry_word]
-            gram = rows[entry]
+            entry_word, gram = grams_of(words, here)
+            scale = 1 / np.bincount(entry_word, minlength=len(here))
+            on = number[gram] >= 0
+            entry_word, gram = entry_word[on], number[gram[on]]
+            scale = scale[entry_word]
             vectors = np.stack([np.bincount(entry_word, table.value[gram, d] * scale, minlength=len(here)) for d in range(DIMENSION)], axis=1)
             a, b, window = windows(np.concatenate([[0], np.cumsum(counts)]))
             total = np.concatenate([np.zeros((1, DIMENSION)), np.cumsum(vectors[local], axis=0)])
@@ -255,6 +270,7 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 7, epoc
         apart[rng.permutation(np.flatnonzero(toxic == label))[::5]] = True
     kept, kept_toxic = [t for t, x in zip(texts, apart) if x], toxic[apart]
     texts, toxic = [t for t, x in zip(texts, apart) if not x], toxic[~apart]
+    gc.collect()
     logit, bias = learn(texts, toxic, rng, epochs)
     if min(np.bincount(kept_toxic, minlength=2)) < 20 and len(set(toxic.tolist())) == 2:
         kept, kept_toxic = texts + kept, np.concatenate([toxic, kept_toxic])
