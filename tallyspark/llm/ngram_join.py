@@ -9,12 +9,15 @@
 3. Within a tile rows are sorted by size and compared only inside the band of
    sizes that can link. Bit counts of the signatures bound the intersection from
    above; what passes is joined to a forest, so that a tile of m rows emits at most
-   m - 1 edges, never all its pairs. Tiles over `TILE` rows are split into
-   pairs of blocks.
-4. The components of that forest are candidates only: inside each (again in
-   bounded blocks) the sorted shingle arrays are intersected exactly, and the
+   m - 1 edges, never all its pairs.
+4. The components of that forest are candidates only: inside each
+   the sorted shingle arrays are intersected exactly, and the
    exact links' components are the result.
 
+A tile or component over its bounds (`TILE`, `BLOCK_ROWS`, `BLOCK_SHINGLES`) is compared with one leader first, a row of about its mean size, in as many
+tasks as it has blocks. Those linked with the leader need no comparison with one another; only the u rows that aren't are
+compared with all m, in pairs of blocks. So a group of near copies costs about m, and u * m pairs are the worst, within bounded memory.
+
 Cases: null and empty texts have no shingles and are linked with nothing; fewer
 than k words make one shingle; texts of any length are hashed whole; repeated rows and
 ties fall into one class (repeated ids give a row each and count as one node); an empty table
@@ -24,11 +27,11 @@ returned with a null component.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallyspark.llm import textkernel as tk
 from tallyspark.llm.components import connected_components
@@ -127,43 +130,98 @@ def tile_edges(size: np.ndarray, bits: np.ndarray, side: np.ndarray, num: int, d
             js = js[roots[js] != roots[i]]
         if not len(js):
             continue
-        other = bits[js]
-        most = np.minimum(size[i] - np.bitwise_count(bits[i] & ~other).sum(axis=1), size[js] - np.bitwise_count(other & ~bits[i]).sum(axis=1))
-        for j in js[den * most >= num * (size[i] + size[js] - most)]:
+        for j in js[may_link(int(size[i]), bits[i], size[js], bits[js], num, den)]:
             if forest.join(i, int(j)):
                 out.append((i, int(j)))
     return out
 
 
+def may_link(size: int, bits: np.ndarray, sizes: np.ndarray, others: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the rows the bit counts can't rule out as links of one row."""
+    most = np.minimum(size - np.bitwise_count(bits & ~others).sum(axis=1), sizes - np.bitwise_count(others & ~bits).sum(axis=1))
+    return den * most >= num * (size + sizes - most)
+
+
+def starred(rows: DataFrame, large: DataFrame, linked: Callable[[int, bytes, np.ndarray, pa.Array], np.ndarray]) -> DataFrame:
+    """(key, id, n, leader, linked) for rows (key, id, n, payload) of the large groups (key, blocks, mean): whether
+    a row is linked with its group's leader, the one of about mean size.
+
+    Links with a leader make a star, which is all that its members need of one another. The leader goes along to each of its group's
+    blocks, so a group of m rows costs m.
+    """
+    leaders = rows.select("key", "id", "n").join(large.hint("merge"), "key").groupBy("key").agg(F.min_by("id", F.struct(F.abs(F.col("n") - F.col("mean")), "id")).alias("leader"), F.first("blocks").alias("blocks"))
+    both = rows.join(leaders.hint("merge"), "key")
+    own = both.withColumns({"salt": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), "place": F.lit(1)})
+    first = both.where("id = leader").withColumns({"salt": F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))), "place": F.lit(0)})
+    columns = ["key", "salt", "place", "id", "n", "leader", "payload"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, size, payload = None, 0, b""
+        for batch in batches:
+            key, salt, place, n = (column(batch, c) for c in ("key", "salt", "place", "n"))
+            out = np.zeros(batch.num_rows, dtype=bool)
+            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (place[1:] != place[:-1])])) if batch.num_rows else []
+            for s, e in zip(cuts, [*cuts[1:], batch.num_rows]):
+                if place[s] == 0:
+                    at, size, payload = (key[s], salt[s]), int(n[s]), batch.column(6)[int(s)].as_py()
+                elif at == (key[s], salt[s]):
+                    out[s:e] = linked(size, payload, n[s:e], batch.column(6).slice(s, e - s))
+            found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(4), batch.column(5), pa.array(out)], ["key", "id", "n", "leader", "linked"])
+            yield found.filter(pa.array(place == 1))
+
+    made = dealt(own.select(*columns).unionAll(first.select(*columns)), "key", "salt").sortWithinPartitions("key", "salt", "place", "id")
+    return materialize(made.mapInArrow(lambda rows: tidied(run(rows)), "key long, id long, n long, leader long, linked boolean"), "stars")
+
+
+def tiles(stars: DataFrame, large: DataFrame, rows: int) -> DataFrame:
+    """(key, left, right, id, n, side): the rows that no star holds, in blocks (side 0), with blocks of all rows of the group (side 1)."""
+    alone = stars.where("not linked")
+    some = alone.groupBy("key").agg(F.ceil(F.count("*") / rows).alias("parts")).join(large.hint("merge"), "key").select("key", "parts", "blocks")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), (F.col(c) - 1).cast("int")))
+    dealt_to = lambda c, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(c)).cast("int")
+    one = alone.join(some.hint("merge"), "key").select("key", dealt_to("parts", 0).alias("left"), upto("blocks").alias("right"), "id", "n", F.lit(0).alias("side"))
+    two = stars.join(some.hint("merge"), "key").select("key", upto("parts").alias("left"), dealt_to("blocks", 1).alias("right"), "id", "n", F.lit(1).alias("side"))
+    return one.unionAll(two)
+
+
+def star_edges(stars: DataFrame) -> DataFrame:
+    return stars.where("linked and id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+
+
 def candidate_edges(reps: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (a, b) between classes, by tile, that the signatures cannot rule out."""
-    posts = reps.select("rep", "n", F.explode("keys").alias("key"))
-    many = Window.partitionBy("key")
-    posts = posts.withColumn("rows", F.count("*").over(many)).where("rows > 1")
-    posts = split(posts, "rep", F.ceil(F.col("rows") / TILE).cast("int"))
-    posts = posts.join(reps.select("rep", "bits").hint("merge"), "rep").select("key", "left", "right", "n", "rep", "side", "bits")
+    posts = reps.select(F.explode("keys").alias("key"), F.col("rep").alias("id"), "n")
+    many = materialize(posts.groupBy("key").agg(F.count("*").alias("rows"), F.avg("n").alias("mean")).where("rows > 1"), "tiles")
+    large = many.where(F.col("rows") > TILE).select("key", F.ceil(F.col("rows") / TILE).alias("blocks"), "mean")
+    bits = reps.select(F.col("rep").alias("of"), "bits").hint("merge")
+    with_bits = lambda rows: rows.join(bits, F.col("id") == F.col("of")).drop("of")
+    placed = posts.join(many.where(F.col("rows") <= TILE).select("key").hint("merge"), "key").select("key", F.lit(0).alias("left"), F.lit(0).alias("right"), "id", "n", F.lit(0).alias("side"))
+    stars = None
+    if not large.isEmpty():
+        ours = posts.join(large.select("key").hint("merge"), "key")
+
+        def linked(size: int, payload: bytes, sizes: np.ndarray, others: pa.Array) -> np.ndarray:
+            return may_link(size, np.frombuffer(payload, np.uint64), sizes, matrix(others, np.uint64, BITS // 64), num, den)
+
+        stars = starred(with_bits(ours).select("key", "id", "n", F.col("bits").alias("payload")), large, linked)
+        placed = placed.unionAll(tiles(stars, large, TILE))
+    placed = with_bits(placed).select("key", "left", "right", "n", "id", "side", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, starts in groups(batches, ["key", "left", "right"]):
-            size, rep, side = (whole.column(c).to_numpy() for c in ("n", "rep", "side"))
+            size, rep, side = (whole.column(c).to_numpy() for c in ("n", "id", "side"))
             bits = matrix(whole.column("bits"), np.uint64, BITS // 64)
             a, b = [], []
             for s, e in zip(starts[:-1], starts[1:]):
                 for i, j in tile_edges(size[s:e], bits[s:e], side[s:e], num, den) if e - s > 1 else ():
-                    a.append(rep[s + i])
-                    b.append(rep[s + j])
+                    if rep[s + i] != rep[s + j]:
+                        a.append(rep[s + i])
+                        b.append(rep[s + j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    sorted_ = dealt(posts, "key", "left", "right").sortWithinPartitions("key", "left", "right", "n", "rep")
-    return sorted_.mapInArrow(lambda rows: tidied(run(rows)), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def split(rows: DataFrame, id_col: str, blocks: F.col) -> DataFrame:
-    """Each row once for every pair of blocks (left <= right) that its own block,
-    dealt by hash, is in; side says which of the two it is."""
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumns({"left": F.least("own", "with"), "right": F.greatest("own", "with"), "side": (F.col("own") > F.col("with")).cast("int")}).drop("blocks", "own", "with")
+    sorted_ = dealt(placed, "key", "left", "right").sortWithinPartitions("key", "left", "right", "n", "id")
+    edges = sorted_.mapInArrow(lambda rows: tidied(run(rows)), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return (edges if stars is None else edges.unionAll(star_edges(stars))).distinct()
 
 
 def exact_edges(size: np.ndarray, flat: np.ndarray, firsts: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -205,10 +263,11 @@ def exact_edges(size: np.ndarray, flat: np.ndarray, firsts: np.ndarray, side: np
 def exact_links(docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Edges (a, b) of the exact links inside the candidate components.
 
-    members: (id, label, n, d1); of repeated ids, d1 says which row's text is meant. Components over a block's bounds are dealt to pairs of blocks.
+    members: (id, label, n, d1); of repeated ids, d1 says which row's text is meant. A component over a block's bounds
+    is linked to a leader first, and what is not linked with it is compared with the whole component in blocks.
     """
-    whole = Window.partitionBy("label")
-    members = members.withColumn("blocks", F.ceil(F.greatest(F.count("*").over(whole) / BLOCK_ROWS, F.sum("n").over(whole) / BLOCK_SHINGLES)).cast("int"))
+    whole = members.groupBy(F.col("label").alias("key")).agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"), F.avg("n").alias("mean"))
+    large = materialize(whole.where("blocks > 1"), "large")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members.hint("merge"), "id")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,28 +279,55 @@ def exact_links(docs: DataFrame, members: DataFrame, k: int, num: int, den: int)
                 with np.errstate(over="ignore"):
                     digest = [int(tk.seeded(own, 1).sum(dtype=np.uint64).view(np.int64)) for own in arrays]
                 meant = pa.array(np.equal(digest, column(part, "d1")))
-                made = pa.RecordBatch.from_arrays([part.column(0), *part.columns[3:], pa.array([own.tobytes() for own in arrays], pa.binary())], ["id", "label", "n", "blocks", "shingles"])
+                made = pa.RecordBatch.from_arrays([part.column(3), part.column(0), part.column(4), pa.array([own.tobytes() for own in arrays], pa.binary())], ["key", "id", "n", "payload"])
                 yield made.filter(meant)
 
-    arrays = texts.select("id", "text", "d1", "label", "n", "blocks").mapInArrow(lambda rows: tidied(shingled(rows)), "id long, label long, n long, blocks int, shingles binary")
-    arrays = split(arrays, "id", F.col("blocks"))
+    arrays = texts.select("id", "text", "d1", "label", "n").mapInArrow(lambda rows: tidied(shingled(rows)), "key long, id long, n long, payload binary")
+    columns = ["key", "left", "right", "n", "id", "side", "payload"]
+    zero = F.lit(0)
+    stars = None
+    if large.isEmpty():
+        placed = arrays.withColumns({"left": zero, "right": zero, "side": zero}).select(*columns)
+    else:
+        arrays = materialize(arrays, "arrays")
+        ours = arrays.join(large.select("key").hint("merge"), "key", "left_semi")
+
+        def linked(size: int, payload: bytes, sizes: np.ndarray, others: pa.Array) -> np.ndarray:
+            own = np.frombuffer(payload, np.uint64)
+            both = np.array([shared(own, np.frombuffer(x.as_buffer(), np.uint64)) for x in others], dtype=np.int64)
+            return den * both >= num * (size + sizes - both)
+
+        stars = starred(ours, large, linked)
+        placed = arrays.join(large.select("key").hint("merge"), "key", "left_anti").withColumns({"left": zero, "right": zero, "side": zero}).select(*columns)
+        again = tiles(stars, large, BLOCK_ROWS).join(ours.select(F.col("key").alias("of"), F.col("id").alias("whose"), "payload").hint("merge"), (F.col("key") == F.col("of")) & (F.col("id") == F.col("whose")))
+        placed = placed.unionAll(again.select(*columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in groups(batches, ["label", "left", "right"]):
+        for table, starts in groups(batches, ["key", "left", "right"]):
             size, ids, side = (table.column(c).to_numpy() for c in ("n", "id", "side"))
             firsts = np.concatenate([[0], np.cumsum(size)])
-            shingles = table.column("shingles")
+            shingles = table.column("payload")
             a, b = [], []
             for s, e in zip(starts[:-1], starts[1:]):
                 if e - s > 1:
                     flat = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in shingles.slice(s, e - s)])
                     for i, j in exact_edges(size[s:e], flat, firsts[s : e + 1] - firsts[s], side[s:e], num, den):
-                        a.append(ids[s + i])
-                        b.append(ids[s + j])
+                        if ids[s + i] != ids[s + j]:
+                            a.append(ids[s + i])
+                            b.append(ids[s + j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    arrays = arrays.select("label", "left", "right", "n", "id", "side", "shingles")
-    return dealt(arrays, "label", "left", "right").sortWithinPartitions("label", "left", "right", "n", "id").mapInArrow(lambda rows: tidied(run(rows)), "a long, b long")
+    sorted_ = dealt(placed, "key", "left", "right").sortWithinPartitions("key", "left", "right", "n", "id")
+    edges = sorted_.mapInArrow(lambda rows: tidied(run(rows)), "a long, b long")
+    return edges if stars is None else edges.unionAll(star_edges(stars))
+
+
+def shared(one: np.ndarray, two: np.ndarray) -> int:
+    """How many values two sorted arrays of distinct values have in common."""
+    if not len(two):
+        return 0
+    at = np.minimum(np.searchsorted(two, one), len(two) - 1)
+    return int(np.count_nonzero(two[at] == one))
 
 
 def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
