@@ -35,10 +35,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyspark.llm import textkernel as tk
 from tallyspark.llm.components import connected_components
-from tallyspark.llm.shared import binaries, column, dealt, groups, lists, materialize, matrix, tidied
+from tallyspark.llm.shared import binaries, bitmap, column, dealt, groups, has_bit, lists, materialize, matrix, tidied
 
 KEYS = 16
-BITS = 2048
+#: Bits of a signature, and the logarithm of those of the filter of shared keys.
+BITS, KEY_BITS = 2048, 26
 #: Rows of a tile, and shingles of a block of candidates, that one task compares.
 TILE, BLOCK_ROWS, BLOCK_SHINGLES = 4096, 512, 1_000_000
 
@@ -147,10 +148,11 @@ def starred(rows: DataFrame, large: DataFrame, linked: Callable[[int, bytes, np.
     a row is linked with its group's leader, the one of about mean size.
 
     Links with a leader make a star, which is all that its members need of one another. The leader goes along to each of its group's
-    blocks, so a group of m rows costs m.
+    blocks, so a group of m rows costs m. The tables of large groups and leaders are written ones, which Spark broadcasts while they are small and
+    sorts when they aren't.
     """
-    leaders = rows.select("key", "id", "n").join(large.hint("merge"), "key").groupBy("key").agg(F.min_by("id", F.struct(F.abs(F.col("n") - F.col("mean")), "id")).alias("leader"), F.first("blocks").alias("blocks"))
-    both = rows.join(leaders.hint("merge"), "key")
+    leaders = rows.select("key", "id", "n").join(large, "key").groupBy("key").agg(F.min_by("id", F.struct(F.abs(F.col("n") - F.col("mean")), "id")).alias("leader"), F.first("blocks").alias("blocks"))
+    both = rows.join(materialize(leaders, "leaders"), "key")
     own = both.withColumns({"salt": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), "place": F.lit(1)})
     first = both.where("id = leader").withColumns({"salt": F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))), "place": F.lit(0)})
     columns = ["key", "salt", "place", "id", "n", "leader", "payload"]
@@ -176,11 +178,11 @@ def starred(rows: DataFrame, large: DataFrame, linked: Callable[[int, bytes, np.
 def tiles(stars: DataFrame, large: DataFrame, rows: int) -> DataFrame:
     """(key, left, right, id, n, side): the rows that no star holds, in blocks (side 0), with blocks of all rows of the group (side 1)."""
     alone = stars.where("not linked")
-    some = alone.groupBy("key").agg(F.ceil(F.count("*") / rows).alias("parts")).join(large.hint("merge"), "key").select("key", "parts", "blocks")
+    some = materialize(alone.groupBy("key").agg(F.ceil(F.count("*") / rows).alias("parts")).join(large, "key").select("key", "parts", "blocks"), "parts")
     upto = lambda c: F.explode(F.sequence(F.lit(0), (F.col(c) - 1).cast("int")))
     dealt_to = lambda c, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(c)).cast("int")
-    one = alone.join(some.hint("merge"), "key").select("key", dealt_to("parts", 0).alias("left"), upto("blocks").alias("right"), "id", "n", F.lit(0).alias("side"))
-    two = stars.join(some.hint("merge"), "key").select("key", upto("parts").alias("left"), dealt_to("blocks", 1).alias("right"), "id", "n", F.lit(1).alias("side"))
+    one = alone.join(some, "key").select("key", dealt_to("parts", 0).alias("left"), upto("blocks").alias("right"), "id", "n", F.lit(0).alias("side"))
+    two = stars.join(some, "key").select("key", upto("parts").alias("left"), dealt_to("blocks", 1).alias("right"), "id", "n", F.lit(1).alias("side"))
     return one.unionAll(two)
 
 
@@ -188,24 +190,42 @@ def star_edges(stars: DataFrame) -> DataFrame:
     return stars.where("linked and id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
 
 
+def shared_posts(reps: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(key, id, n): each class under those of its tile keys that are in the filter of shared ones."""
+    shipped = reps.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(2)
+            values = keys.flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), keys.value_lengths().to_numpy())
+            on = has_bit(shipped.value, values)
+            row = pa.array(row[on])
+            yield pa.RecordBatch.from_arrays([pa.array(values[on]), batch.column(0).take(row), batch.column(1).take(row)], ["key", "id", "n"])
+
+    return reps.select("rep", "n", "keys").mapInArrow(lambda rows: tidied(run(rows)), "key long, id long, n long")
+
+
 def candidate_edges(reps: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (a, b) between classes, by tile, that the signatures cannot rule out."""
-    posts = reps.select(F.explode("keys").alias("key"), F.col("rep").alias("id"), "n")
-    many = materialize(posts.groupBy("key").agg(F.count("*").alias("rows"), F.avg("n").alias("mean")).where("rows > 1"), "tiles")
-    large = many.where(F.col("rows") > TILE).select("key", F.ceil(F.col("rows") / TILE).alias("blocks"), "mean")
+    counts = reps.select(F.explode("keys").alias("key"), "n").groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
+    many = materialize(counts.where("rows > 1"), "tiles")
+    large = materialize(many.where(F.col("rows") > TILE).select("key", F.ceil(F.col("rows") / TILE).alias("blocks"), (F.col("total") / F.col("rows")).alias("mean")), "large")
+    posts = shared_posts(reps, bitmap(many, "key", KEY_BITS))
     bits = reps.select(F.col("rep").alias("of"), "bits").hint("merge")
-    with_bits = lambda rows: rows.join(bits, F.col("id") == F.col("of")).drop("of")
-    placed = posts.join(many.where(F.col("rows") <= TILE).select("key").hint("merge"), "key").select("key", F.lit(0).alias("left"), F.lit(0).alias("right"), "id", "n", F.lit(0).alias("side"))
-    stars = None
+    placed, stars = posts, None
     if not large.isEmpty():
-        ours = posts.join(large.select("key").hint("merge"), "key")
+        ours = reps.select(F.explode("keys").alias("key"), F.col("rep").alias("id"), "n", F.col("bits").alias("payload")).join(large.select("key"), "key", "left_semi")
 
         def linked(size: int, payload: bytes, sizes: np.ndarray, others: pa.Array) -> np.ndarray:
             return may_link(size, np.frombuffer(payload, np.uint64), sizes, matrix(others, np.uint64, BITS // 64), num, den)
 
-        stars = starred(with_bits(ours).select("key", "id", "n", F.col("bits").alias("payload")), large, linked)
-        placed = placed.unionAll(tiles(stars, large, TILE))
-    placed = with_bits(placed).select("key", "left", "right", "n", "id", "side", "bits")
+        stars = starred(ours, large, linked)
+        placed = posts.join(large.select("key"), "key", "left_anti")
+    placed = placed.select("key", F.lit(0).alias("left"), F.lit(0).alias("right"), "id", "n", F.lit(0).alias("side"))
+    placed = placed if stars is None else placed.unionAll(tiles(stars, large, TILE))
+    placed = placed.join(bits, F.col("id") == F.col("of"))
+    placed = placed.select("key", "left", "right", "n", "id", "side", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, starts in groups(batches, ["key", "left", "right"]):
@@ -290,7 +310,7 @@ def exact_links(docs: DataFrame, members: DataFrame, k: int, num: int, den: int)
         placed = arrays.withColumns({"left": zero, "right": zero, "side": zero}).select(*columns)
     else:
         arrays = materialize(arrays, "arrays")
-        ours = arrays.join(large.select("key").hint("merge"), "key", "left_semi")
+        ours = arrays.join(large.select("key"), "key", "left_semi")
 
         def linked(size: int, payload: bytes, sizes: np.ndarray, others: pa.Array) -> np.ndarray:
             own = np.frombuffer(payload, np.uint64)
@@ -298,7 +318,7 @@ def exact_links(docs: DataFrame, members: DataFrame, k: int, num: int, den: int)
             return den * both >= num * (size + sizes - both)
 
         stars = starred(ours, large, linked)
-        placed = arrays.join(large.select("key").hint("merge"), "key", "left_anti").withColumns({"left": zero, "right": zero, "side": zero}).select(*columns)
+        placed = arrays.join(large.select("key"), "key", "left_anti").withColumns({"left": zero, "right": zero, "side": zero}).select(*columns)
         again = tiles(stars, large, BLOCK_ROWS).join(ours.select(F.col("key").alias("of"), F.col("id").alias("whose"), "payload").hint("merge"), (F.col("key") == F.col("of")) & (F.col("id") == F.col("whose")))
         placed = placed.unionAll(again.select(*columns))
 
