@@ -70,11 +70,11 @@ def exponential_fill(reach: np.ndarray, decay: float) -> np.ndarray:
 def invert_exponential(active: np.ndarray, length: int, decay: float) -> np.ndarray:
     """Cardinality of an exponential filter with so many active registers."""
     share = np.clip(np.asarray(active, dtype=np.float64) / length, 0, 1)
-    out = invert_monotonic(lambda r: exponential_fill(r, decay), np.minimum(share, 1 - 1e-16), 0.0, 1e-7, 1e12) * length
+    out = invert_monotonic(lambda r: exponential_fill(r, decay), np.minimum(share, 1 - 1e-16), 0.0, 1e-12, 1e12) * length
     return np.where(share <= 0, 0.0, out)
 
 
-def invert_fill(active: np.ndarray, probabilities: np.ndarray, epsilon: float = 1e-3) -> np.ndarray:
+def invert_fill(active: np.ndarray, probabilities: np.ndarray, epsilon: float = 1e-6) -> np.ndarray:
     """The n with sum(1 - (1 - p)^n) = active; up to one active register gives 0, as does
     a target below what one id already makes."""
     x = np.atleast_1d(np.asarray(active, dtype=np.float64))
@@ -86,7 +86,7 @@ def invert_fill(active: np.ndarray, probabilities: np.ndarray, epsilon: float =
     return invert_monotonic(filled, x, 0.0, epsilon)
 
 
-def invert_weighted(bits: np.ndarray, probabilities: np.ndarray, weights: np.ndarray | None = None, epsilon: float = 1e-3) -> float:
+def invert_weighted(bits: np.ndarray, probabilities: np.ndarray, weights: np.ndarray | None = None, epsilon: float = 1e-6) -> float:
     """The n at which the weighted expected registers equal the weighted observed ones."""
     w = np.ones_like(probabilities) if weights is None else np.asarray(weights, dtype=np.float64)
     stay = np.log1p(-np.minimum(probabilities, 1 - 1e-15))

@@ -155,7 +155,7 @@ def weighted_prefixes(registers: DataFrame, grid: DataFrame, sketch: AnySketch,
     def inverse(x: pd.Series) -> pd.Series:
         own = np.ones_like(p) if weights is None else np.asarray(weights, dtype=np.float64)
         stay = np.log1p(-np.minimum(p, 1 - 1e-15))
-        return pd.Series(numerics.invert_monotonic(lambda n: np.array([np.sum(own * -np.expm1(v * stay)) for v in np.atleast_1d(n)]), x.to_numpy(np.float64)))
+        return pd.Series(numerics.invert_monotonic(lambda n: np.array([np.sum(own * -np.expm1(v * stay)) for v in np.atleast_1d(n)]), x.to_numpy(np.float64), epsilon=1e-6))
 
     return sums.select("run_index", "num_sets", inverse(F.col("active").cast("double")).alias("estimate"))
 
@@ -262,7 +262,7 @@ def cascading_prefixes(registers: DataFrame, grid: DataFrame, sketch: CascadingL
 
     @F.pandas_udf("double")
     def inverse(x: pd.Series) -> pd.Series:
-        return pd.Series(numerics.invert_monotonic(lambda c: numerics.cascading_fill(c, legions, positions), x.to_numpy(np.float64)))
+        return pd.Series(numerics.invert_monotonic(lambda c: numerics.cascading_fill(c, legions, positions), x.to_numpy(np.float64), epsilon=1e-6))
 
     return active.select("run_index", "num_sets", inverse(F.col("active").cast("double")).alias("estimate"))
 

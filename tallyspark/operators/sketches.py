@@ -283,3 +283,11 @@ class Stratified(Sketch):
     def from_frequencies(self, frequencies: DataFrame, *more_keys: str) -> DataFrame:
         """From an exact multiset (id, frequency)."""
         return self.inner.build(strata(frequencies, self.max_frequency), *more_keys, "stratum")
+
+
+def pooled_strata(df: DataFrame, stratified: Stratified) -> DataFrame:
+    """One stratified sketch of all of a run's sets together: frequencies are added over the sets first.
+
+    df is what a generator makes, (run_index, set_index, id); the result has set_index 0.
+    """
+    return stratified.build(df.select("run_index", F.lit(0).alias("set_index"), "id"))

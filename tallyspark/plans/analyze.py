@@ -92,3 +92,9 @@ def summary(spark: SparkSession, raw: DataFrame, criteria: list[tuple[float, flo
     metric = METRICS[kind]
     found = estimable_sets(raw, criteria_table(spark, criteria), metric)
     return error_at_estimable(raw, found, metric)
+
+
+def read_summary(spark: SparkSession, path: str, metric: str = "relative_error_1") -> DataFrame:
+    """A summary written as CSV, with its schema stated."""
+    columns = ["error_margin double", "proportion_of_runs double", *[f"{k} string" for k in KEYS], "num_estimable_sets int", f"{metric}_mean double", f"{metric}_std double"]
+    return spark.read.csv(path, header=True, schema=", ".join(columns))

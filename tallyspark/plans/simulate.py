@@ -62,4 +62,9 @@ def aggregated(raw: DataFrame) -> DataFrame:
 def simulate(spark: SparkSession, generator: Generator, method: Method, num_runs: int, *, data_seed: int = 1, sketch_seed: int = 2, max_frequency: int | None = None) -> DataFrame:
     """Raw results of num_runs runs. Data depend on data_seed alone, so all methods see the same."""
     impressions = generator.generate(spark, num_runs, data_seed)
-    return raw_results(impressions, method, h60_value("sketch", sketch_seed) % (1 << 31), max_frequency)
+    return raw_results(impressions, method, sketch_seed_of(sketch_seed), max_frequency)
+
+
+def sketch_seed_of(seed: int) -> int:
+    """The seed of a simulation's sketches, apart from that of its data."""
+    return h60_value("sketch", seed) % (1 << 31)

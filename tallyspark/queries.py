@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallyspark.functions import distributions as dist, noise, numerics
-from tallyspark.functions.hashing import fan_out, fingerprint, h60_sql, hash_id, unit
+from tallyspark.functions.hashing import fan_out, fingerprint, h60_sql, h60_value, hash_id, unit
 from tallyspark.operators import estimators as est, folds, noisers, posterior, prefixes, setalgebra as alg, sketches as sk
 from tallyspark.plans import analyze, methods as m, registry, report, simulate
 from tallyspark.sources import generators as gen, tables
@@ -59,6 +59,35 @@ def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 IDS = f"WITH {IMP}, ids AS (SELECT DISTINCT id FROM imp)"
 
+def inverse_sql(rows: str, keys: str, fill: str, name: str = "inv") -> str:
+    """CTEs that solve fill(mid) = target by halving, for a table of (keys, target); they end in `name` (keys, n).
+
+    This is another way than the library's: its closed forms are replaced by sums and quadrature here.
+    """
+    return f"{name}_b AS (SELECT {keys}, target, 0.0::DOUBLE AS lo, 1e12::DOUBLE AS hi, 0 AS step FROM {rows} UNION ALL SELECT {keys}, target, CASE WHEN filled < target THEN mid ELSE lo END, CASE WHEN filled < target THEN hi ELSE mid END, step + 1 FROM (SELECT *, {fill} AS filled FROM (SELECT *, (lo + hi) / 2 AS mid FROM {name}_b WHERE step < 110))), {name} AS (SELECT {keys}, CASE WHEN target <= 0 THEN 0.0::DOUBLE ELSE (lo + hi) / 2 END AS n FROM {name}_b WHERE step = 110)"
+
+
+def listed(values) -> str:
+    return "[" + ", ".join(f"{float(v)!r}::DOUBLE" for v in values) + "]"
+
+
+def exponential_fill_sql(length: int, decay: float) -> str:
+    """Expected active registers of an exponential filter: the integral over its registers by Gauss and Legendre."""
+    x, w = np.polynomial.legendre.leggauss(96)
+    return f"{length} * list_dot_product({listed(w / 2)}, list_transform({listed(np.exp(decay * (x + 1) / 2))}, lambda e: 1 - exp(-mid * e * {decay / (length * (exp(decay) - 1))!r}::DOUBLE)))"
+
+
+def flips_sql(index: str, length: int, probability: float, name: str = "clean") -> str:
+    """CTE (set_index, register, value): all registers after random response, each with its unbiased value."""
+    uu = u("'flip'", "'7'", "0::VARCHAR", "set_index::VARCHAR", "register::VARCHAR")
+    return f"{name}_bits AS (SELECT DISTINCT set_index, ({index})::INT AS register FROM imp), {name}_all AS (SELECT s.set_index, r.k::INT AS register, (b.register IS NOT NULL) AS bit FROM (SELECT DISTINCT set_index FROM imp) s CROSS JOIN range({length}) r(k) LEFT JOIN {name}_bits b ON b.set_index = s.set_index AND b.register = r.k), {name} AS (SELECT set_index, register, ((CASE WHEN bit THEN (uu >= {probability!r})::INT ELSE (uu < {probability!r})::INT END) - {probability!r}::DOUBLE) / {1 - 2 * probability!r}::DOUBLE AS value FROM (SELECT *, {uu} AS uu FROM {name}_all))"
+
+
+def prefix_active_sql(index: str) -> str:
+    """CTE act (num_sets, target): registers active in the first n sets."""
+    return f"act AS (SELECT g.n AS num_sets, count(DISTINCT {index})::DOUBLE AS target FROM (SELECT DISTINCT set_index AS n FROM imp) g JOIN imp ON set_index <= g.n GROUP BY g.n)"
+
+
 # ---- hashes and distributions --------------------------------------------------------------
 
 
@@ -165,15 +194,9 @@ def bloom_registers(spark, d):
     return K3.build(imp(spark, d))
 
 
-@query(f"WITH {IMP}, placed AS ({K3_ROWS}), bits AS (SELECT DISTINCT {KEYS}, register FROM placed), cand AS (SELECT DISTINCT id, register, k FROM (SELECT id, register, row_number() OVER (PARTITION BY run_index, set_index, id) AS k FROM placed) WHERE id <= 500), all_ AS (SELECT id, count(*) AS n FROM (SELECT DISTINCT id, register FROM cand) GROUP BY id) SELECT run_index, set_index, id FROM (SELECT DISTINCT id, register FROM cand) JOIN bits USING (register) JOIN all_ USING (id) GROUP BY run_index, set_index, id, n HAVING count(*) = n")
-def bloom_membership(spark, d):
-    rows = imp(spark, d)
-    return K3.contains(K3.build(rows), rows.where("id <= 500"))
-
-
 @query(f"WITH {IMP}, placed AS ({K3_ROWS}), bits AS (SELECT DISTINCT {KEYS}, register FROM placed), cand AS (SELECT DISTINCT id, register FROM placed), all_ AS (SELECT id, count(*) AS n FROM cand GROUP BY id) SELECT run_index, set_index, id FROM cand JOIN bits USING (register) JOIN all_ USING (id) GROUP BY run_index, set_index, id, n HAVING count(*) = n")
-def bloom_membership_whole(spark, d):
-    """Membership of every id of the table; bloom_membership and its SQL test the ids up to 500."""
+def bloom_membership(spark, d):
+    """Membership of every id of the table in every set."""
     rows = imp(spark, d)
     return K3.contains(K3.build(rows), rows)
 
@@ -329,7 +352,15 @@ def voc_pairwise(spark, d):
     return pairs.select("run_index", "set_index", "next_index", F.round("intersection", 6).alias("intersection"), F.round("union_size", 6).alias("union_size"))
 
 
-@query()
+EXP_P = f"({(1 - EXP_Q) / (1 - EXP_Q**LENGTH)!r}::DOUBLE * pow({EXP_Q!r}::DOUBLE, register))"
+_TWO = f"bits AS (SELECT DISTINCT set_index, {EXP_INDEX} AS register FROM imp WHERE set_index IN (1, 2)), ab AS (SELECT r.k AS register, (x.register IS NOT NULL)::INT AS a, (y.register IS NOT NULL)::INT AS b FROM range({LENGTH}) r(k) LEFT JOIN (SELECT register FROM bits WHERE set_index = 1) x ON x.register = r.k LEFT JOIN (SELECT register FROM bits WHERE set_index = 2) y ON y.register = r.k)"
+_SIZES = "raw AS (SELECT 'x' AS part, sum(a)::DOUBLE AS target FROM ab UNION ALL SELECT 'y', sum(b)::DOUBLE FROM ab UNION ALL SELECT 'u', sum(greatest(a, b))::DOUBLE FROM ab)"
+_LEFT = "w AS (SELECT any_value(n) FILTER (part = 'x') AS x, any_value(n) FILTER (part = 'y') AS y, any_value(n) FILTER (part = 'u') AS u FROM inv), c AS (SELECT *, greatest(x + y - u, 0) AS common FROM w), g AS (SELECT ab.*, c.*, {p} AS p, 1 - pow(1 - {p}, common) AS shared, 1 - pow(1 - {p}, x - common) AS mine, 1 - pow(1 - {p}, y - common) AS theirs FROM ab CROSS JOIN c), sums AS (SELECT greatest(sum(p * a * b), {t}, min(p)) AS thin_both, greatest(sum(p * a), {t}, min(p)) AS thin_a, greatest(0, least(any_value(x - common), any_value(x - common) - sum(a * (1 - b)))) AS hidden FROM g)"
+_KINDS = "parts AS (SELECT 'expectation' AS kind, 'intersection' AS part, sum(a * b * (1 - pow(1 - least(1, p / thin_both), common))) AS target FROM g CROSS JOIN sums UNION ALL SELECT 'expectation', 'difference', sum(a * (1 - b) + a * b * (1 - pow(1 - least(1, p / thin_a), hidden))) FROM g CROSS JOIN sums UNION ALL SELECT 'bayesian', 'intersection', sum(a * b * shared / greatest({t}, mine * theirs * (1 - shared) + shared)) FROM g UNION ALL SELECT 'bayesian', 'difference', sum(a * (1 - b) + a * b * (mine * theirs * shared + mine * (1 - theirs) * shared + mine * theirs * (1 - shared)) / greatest({t}, mine * theirs * (1 - shared) + shared)) FROM g)"
+_THRESHOLD = f"{alg.FilterAlgebra(EXPONENTIAL.distributions[0], 'bayesian').threshold!r}::DOUBLE"
+
+
+@query(f"WITH RECURSIVE {IMP}, {_TWO}, {_SIZES}, {inverse_sql('raw', 'part', exponential_fill_sql(LENGTH, DECAY))}, {_LEFT.format(p=EXP_P, t=_THRESHOLD)}, {_KINDS.format(t=_THRESHOLD)}, {inverse_sql('parts', 'kind, part', exponential_fill_sql(LENGTH, DECAY), 'again')} SELECT kind, round(any_value(n) FILTER (part = 'intersection'), 2) AS intersection, round(any_value(n) FILTER (part = 'difference'), 2) AS difference, (SELECT round(u, 2) FROM c) AS either FROM again GROUP BY kind")
 def filter_algebra(spark, d):
     """Sizes of intersection and difference of two sets' filters, both kinds of approximation."""
     bits = EXPONENTIAL.build(imp(spark, d)).where("set_index in (1, 2)")
@@ -344,7 +375,8 @@ def filter_algebra(spark, d):
             out.append((kind, algebra.size(algebra.intersection(a, b)), algebra.size(algebra.difference(a, b)), algebra.size(algebra.union(a, b))))
         return pd.DataFrame(out, columns=["kind", "intersection", "difference", "either"])
 
-    return bits.groupBy("run_index").applyInPandas(run, "kind string, intersection double, difference double, either double")
+    found = bits.groupBy("run_index").applyInPandas(run, "kind string, intersection double, difference double, either double")
+    return found.select("kind", *[F.round(c, 2).alias(c) for c in ("intersection", "difference", "either")])
 
 
 # ---- estimators ----------------------------------------------------------------------------
@@ -393,22 +425,34 @@ def logarithmic_estimate(spark, d):
     return rounded(est.filter_prefixes(LOGARITHMIC.build(rows), prefixes.set_grid(rows), LOGARITHMIC))
 
 
-@query()
+EXP_FILL = exponential_fill_sql(LENGTH, DECAY)
+ESTIMATES = "SELECT 0 AS run_index, num_sets, round(n, 3) AS estimate FROM inv"
+
+
+@query(f"WITH RECURSIVE {IMP}, {prefix_active_sql(EXP_INDEX)}, {inverse_sql('act', 'num_sets', EXP_FILL)} {ESTIMATES}")
 def exponential_estimate(spark, d):
     rows = imp(spark, d)
-    return est.filter_prefixes(EXPONENTIAL.build(rows), prefixes.set_grid(rows), EXPONENTIAL)
+    return rounded(est.filter_prefixes(EXPONENTIAL.build(rows), prefixes.set_grid(rows), EXPONENTIAL), 3)
 
 
-@query()
+GEO_FILL = f"list_sum(list_transform(range({LENGTH}), lambda k: 1 - pow(1 - {GEOMETRIC_P / (1 - GEO_Q**LENGTH)!r}::DOUBLE * pow({GEO_Q!r}::DOUBLE, k), mid)))"
+
+
+@query(f"WITH RECURSIVE {IMP}, {prefix_active_sql(GEO_INDEX)}, {inverse_sql('act', 'num_sets', GEO_FILL)} {ESTIMATES}")
 def geometric_estimate(spark, d):
     rows = imp(spark, d)
-    return est.filter_prefixes(GEOMETRIC.build(rows), prefixes.set_grid(rows), GEOMETRIC)
+    return rounded(est.filter_prefixes(GEOMETRIC.build(rows), prefixes.set_grid(rows), GEOMETRIC), 3)
 
 
-@query()
+_LOG_TOTAL = f"({LOG_LENGTH} * ln({LOG_LENGTH + 1}.0::DOUBLE) - lgamma({LOG_LENGTH + 1}.0::DOUBLE))"
+_LOG_WEIGHT = f"(0.5::DOUBLE + k / {LOG_LENGTH - 1}.0::DOUBLE)"
+LOG_FILL = f"list_sum(list_transform(range({LOG_LENGTH}), lambda k: {_LOG_WEIGHT} * (1 - pow(1 + ln((k + 1) / {LOG_LENGTH + 1}.0::DOUBLE) / {_LOG_TOTAL}, mid))))"
+
+
+@query(f"WITH RECURSIVE {IMP}, {LOG_BOUNDS}, placed AS (SELECT id, (SELECT count(*) FROM bounds WHERE hi < {U_ID}) AS k FROM (SELECT DISTINCT id FROM imp)), act AS (SELECT num_sets, sum({_LOG_WEIGHT}) AS target FROM (SELECT DISTINCT g.n AS num_sets, k FROM (SELECT DISTINCT set_index AS n FROM imp) g JOIN imp ON set_index <= g.n JOIN placed USING (id)) GROUP BY num_sets), {inverse_sql('act', 'num_sets', LOG_FILL)} {ESTIMATES}")
 def weighted_estimate(spark, d):
     rows = imp(spark, d)
-    return est.weighted_prefixes(LOGARITHMIC.build(rows), prefixes.set_grid(rows), LOGARITHMIC, np.linspace(0.5, 1.5, LOG_LENGTH))
+    return rounded(est.weighted_prefixes(LOGARITHMIC.build(rows), prefixes.set_grid(rows), LOGARITHMIC, np.linspace(0.5, 1.5, LOG_LENGTH)), 3)
 
 
 _A = est.hll_alpha(1 << HLL_BITS) * (1 << HLL_BITS) ** 2
@@ -420,21 +464,27 @@ def hll_estimate(spark, d):
     return rounded(est.hll_prefixes(imp(spark, d), HLL))
 
 
-@query()
+FLL_TOP = FLL.max_frequency
+
+
+@query(f"WITH {IMP}, {HLL_SQL}, grid AS (SELECT DISTINCT set_index AS n FROM imp), top AS (SELECT g.n, register, max(rho) AS rho FROM grid g JOIN hll ON set_index <= g.n GROUP BY ALL), s AS (SELECT n, count(*) AS active, sum(pow(2.0::DOUBLE, -rho)) AS powers FROM top GROUP BY n), c AS (SELECT g.n, count(DISTINCT id) AS ids FROM grid g JOIN imp ON set_index <= g.n GROUP BY g.n), e AS (SELECT n, ids, 256 - active AS empty, {_A!r}::DOUBLE / (powers + 256 - active) AS raw FROM s JOIN c USING (n)), reach AS (SELECT n, ids, CASE WHEN ids <= {6 * 256} THEN ids WHEN empty > 0 AND 256 * ln(256.0::DOUBLE / empty) <= {_LIMIT} THEN 256 * ln(256.0::DOUBLE / empty) ELSE raw END AS estimate FROM e), keyed AS (SELECT g.n, {HLL_REG} AS register, {HLL_RHO} AS rho, {FP2} AS fp, count(*) AS freq FROM grid g JOIN imp ON set_index <= g.n GROUP BY ALL), held AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY n, register ORDER BY rho DESC, fp DESC) = 1), shares AS (SELECT n, k, avg((freq >= k)::INT) AS share FROM held CROSS JOIN range(1, {FLL_TOP + 1}) t(k) GROUP BY ALL), seen AS (SELECT g.n, id, count(*) AS f FROM grid g JOIN imp ON set_index <= g.n GROUP BY ALL), exact AS (SELECT n, k, count(*) FILTER (f >= k) AS cardinality FROM seen CROSS JOIN range(1, {FLL_TOP + 1}) t(k) GROUP BY ALL) SELECT 0 AS run_index, n AS num_sets, k::INT AS frequency_level, CASE WHEN ids <= {6 * 256} THEN cardinality ELSE round_even(estimate * share, 0) END::DOUBLE AS estimate FROM reach JOIN shares USING (n) JOIN exact USING (n, k)")
 def fll_estimate(spark, d):
     return est.fll_prefixes(imp(spark, d), FLL)
 
 
-@query()
+@query(f"WITH RECURSIVE {IMP}, {prefix_active_sql(LIQ_INDEX)}, cut AS (SELECT num_sets, least(target, {LENGTH - 1}) AS target FROM act), {inverse_sql('cut', 'num_sets', EXP_FILL)} {ESTIMATES}")
 def liquid_estimate(spark, d):
     rows = imp(spark, d)
-    return est.liquid_prefixes(LIQUID.build(rows), prefixes.set_grid(rows), LIQUID)
+    return rounded(est.liquid_prefixes(LIQUID.build(rows), prefixes.set_grid(rows), LIQUID), 3)
 
 
-@query()
+CAS_FILL = "list_sum(list_transform(range(10), lambda i: 256 * (1 - exp(-mid / (256 * pow(2.0::DOUBLE, least(i + 1, 9)))))))"
+
+
+@query(f"WITH RECURSIVE {IMP}, {prefix_active_sql(CAS_INDEX)}, {inverse_sql('act', 'num_sets', CAS_FILL)} {ESTIMATES}")
 def cascading_estimate(spark, d):
     rows = imp(spark, d)
-    return est.cascading_prefixes(CASCADING.build(rows), prefixes.set_grid(rows), CASCADING)
+    return rounded(est.cascading_prefixes(CASCADING.build(rows), prefixes.set_grid(rows), CASCADING), 3)
 
 
 @query(f"WITH {IMP}, l AS ({legion_sql(LIQ_INDEX)}), s AS (SELECT {KEYS}, cnt AS frequency, count(*) AS n FROM l WHERE min_fp = max_fp GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY run_index, set_index), 6) AS share FROM s")
@@ -455,11 +505,15 @@ def independent_reach(spark, d):
     return rounded(est.independent_reach(reach, 10000))
 
 
-@query()
+_FOLD = f"[list_sum([s[i] * q[k - i + 1] FOR i IN range(1, k + 1)]) FOR k IN range(1, {TOP + 1})]"
+
+
+@query(f"WITH RECURSIVE {IMP}, per AS (SELECT set_index, id, count(*) AS f FROM imp GROUP BY ALL), grid AS (SELECT set_index, row_number() OVER (ORDER BY set_index) AS place, count(*) AS reach FROM per GROUP BY set_index), q AS (SELECT g.set_index, g.place, list(CASE WHEN k = 0 THEN 1 - reach / 1e6::DOUBLE ELSE coalesce(c, 0) / 1e6::DOUBLE END ORDER BY k) AS q FROM grid g CROSS JOIN range({TOP}) t(k) LEFT JOIN (SELECT set_index, f, count(*) AS c FROM per GROUP BY ALL) x ON x.set_index = g.set_index AND x.f = k GROUP BY ALL), folded AS (SELECT 0::BIGINT AS place, 0 AS set_index, [1.0::DOUBLE{', 0.0::DOUBLE' * (TOP - 1)}] AS s UNION ALL SELECT q.place, q.set_index, {_FOLD} FROM folded JOIN q ON q.place = folded.place + 1) SELECT 0 AS run_index, set_index AS num_sets, k::INT AS frequency_level, round(1e6::DOUBLE * (1 - list_sum(s[1:k])), 3) AS estimate FROM folded CROSS JOIN range(1, {TOP + 1}) t(k) WHERE place > 0")
 def independent_levels(spark, d):
+    """Chances of a person's total frequency, convolved set by set."""
     rows = imp(spark, d)
     per_set = rows.groupBy("run_index", "set_index", "id").agg(F.count("*").alias("f")).groupBy("run_index", "set_index", "f").agg(F.count("*").alias("n"))
-    return est.independent_levels(est.cumulative(per_set, "f", "n", "run_index", "set_index"), 1e6, TOP)
+    return rounded(est.independent_levels(est.cumulative(per_set, "f", "n", "run_index", "set_index"), 1e6, TOP), 3)
 
 
 @query(f"WITH {IMP}, grid AS (SELECT DISTINCT set_index AS n FROM imp), reg AS (SELECT g.n, {EXP_INDEX} AS register, min(id) AS a, max(id) AS b, count(*) AS c FROM grid g JOIN imp ON set_index <= g.n GROUP BY ALL), one AS (SELECT n, least(c, {TOP}) AS level, count(*) AS k FROM reg WHERE a = b GROUP BY ALL) SELECT 0 AS run_index, g.n AS num_sets, t.k::INT AS frequency_level, round(coalesce(sum(one.k) FILTER (one.level >= t.k), 0) / sum(one.k), 6) AS share FROM grid g CROSS JOIN range(1, {TOP + 1}) t(k) JOIN one ON one.n = g.n GROUP BY g.n, t.k")
@@ -476,9 +530,34 @@ def stratified_merge_exact(spark, d):
     return folds.stratified_exact(sk.ExactMultiSet().build(imp(spark, d)), 3)
 
 
-@query()
+def both_sql(op: str, a: str, b: str) -> str:
+    return f"list_transform(list_zip({a}, {b}), lambda x: x[1] {op} x[2])"
+
+
+def common_sql(a: str, b: str, length: int) -> str:
+    return f"(list_dot_product({a}, {b}) - list_sum({a}) * list_sum({b}) / {length})"
+
+
+def meet_sql(a: str, b: str, length: int = 256) -> str:
+    """The intersection's vector: what the buckets of both hold, in proportion to the covariance."""
+    return f"list_transform(list_zip({a}, {b}), lambda x: (x[1] + x[2]) * coalesce({common_sql(a, b, length)} / nullif(list_sum({a}) + list_sum({b}), 0), 0))"
+
+
+def strata_merge_sql() -> str:
+    """(s1, s2, s3, s0) after the next set (b1, b2, b3, b0), for a top level of 3."""
+    minus, plus = (lambda a, b: both_sql("-", a, b)), (lambda a, b: both_sql("+", a, b))
+    one = plus(minus("s1", meet_sql("s1", "b0")), minus("b1", meet_sql("s0", "b1")))
+    two = plus(plus(minus("s2", meet_sql("s2", "b0")), minus("b2", meet_sql("s0", "b2"))), meet_sql("s1", "b1"))
+    three = plus(plus(plus("s3", meet_sql("s2", "b0")), meet_sql("s1", minus("b0", "b1"))), minus("b3", meet_sql("b3", "s0")))
+    return f"{one} AS s1, {two} AS s2, {three} AS s3"
+
+
+_STRATA_VECTORS = f"vec AS (SELECT s.set_index, s.stratum, list(coalesce(c, 0)::DOUBLE ORDER BY k) AS v FROM (SELECT set_index, stratum FROM (SELECT DISTINCT set_index FROM imp) CROSS JOIN (VALUES ('1'), ('2'), ('3+'), ('1+')) n(stratum)) s CROSS JOIN range(256) r(k) LEFT JOIN (SELECT set_index, stratum, {h()} % 256 AS register, count(*) AS c FROM strata GROUP BY ALL) x ON x.set_index = s.set_index AND x.stratum = s.stratum AND x.register = r.k GROUP BY ALL), wide AS (SELECT row_number() OVER (ORDER BY set_index) AS place, set_index, any_value(v) FILTER (stratum = '1') AS b1, any_value(v) FILTER (stratum = '2') AS b2, any_value(v) FILTER (stratum = '3+') AS b3, any_value(v) FILTER (stratum = '1+') AS b0 FROM vec GROUP BY set_index)"
+
+
+@query(f"WITH RECURSIVE {IMP}, {STRATA_SQL}, {_STRATA_VECTORS}, folded AS (SELECT place, set_index, b1 AS s1, b2 AS s2, b3 AS s3, b0 AS s0 FROM wide WHERE place = 1 UNION ALL SELECT place, set_index, s1, s2, s3, {both_sql('+', both_sql('+', 's1', 's2'), 's3')} FROM (SELECT w.place, w.set_index, {strata_merge_sql()} FROM folded f JOIN wide w ON w.place = f.place + 1)) SELECT 0 AS run_index, set_index AS num_sets, k::INT AS frequency_level, round(list_sum(s3) + CASE WHEN k <= 2 THEN list_sum(s2) ELSE 0 END + CASE WHEN k <= 1 THEN list_sum(s1) ELSE 0 END, 3) AS estimate FROM folded CROSS JOIN range(1, 4) t(k)")
 def stratified_voc_estimate(spark, d):
-    return m.stratified_voc_method(256, 3)(imp(spark, d), SEED)
+    return rounded(m.stratified_voc_method(256, 3)(imp(spark, d), SEED), 3)
 
 
 @query()
@@ -491,15 +570,23 @@ def stratified_bayesian_estimate(spark, d):
     return m.stratified_filter_method(EXPONENTIAL, 3, "bayesian", local_epsilon=log(3))(imp(spark, d), SEED)
 
 
-@query()
+def sequential_sql(counts: str, length: int) -> str:
+    """CTEs from (set_index, register, value) to seq (num_sets, size): vectors merged from left to right."""
+    return f"dense AS (SELECT row_number() OVER (ORDER BY s.set_index) AS place, s.set_index, list(coalesce(v.value, 0.0::DOUBLE) ORDER BY r.k) AS v FROM (SELECT DISTINCT set_index FROM imp) s CROSS JOIN range({length}) r(k) LEFT JOIN {counts} v ON v.set_index = s.set_index AND v.register = r.k GROUP BY s.set_index), seqs AS (SELECT place, set_index, v AS s FROM dense WHERE place = 1 UNION ALL SELECT d.place, d.set_index, list_transform(list_zip(s, d.v), lambda x: (x[1] + x[2]) * (1 - {common_sql('s', 'd.v', length)} / (list_sum(s) + list_sum(d.v)))) FROM seqs JOIN dense d ON d.place = seqs.place + 1), seq AS (SELECT set_index AS num_sets, list_sum(s) AS size FROM seqs)"
+
+
+@query(f"WITH RECURSIVE {IMP}, {VOC_SQL}, {sequential_sql('voc', 64)} SELECT 0 AS run_index, num_sets, round(size, 3) AS estimate FROM seq")
 def voc_sequential_estimate(spark, d):
     rows = imp(spark, d)
-    return folds.voc_prefixes(VOC.build(rows), rows, 64, alg.CountAlgebra())
+    return rounded(folds.voc_prefixes(VOC.build(rows), rows, 64, alg.CountAlgebra()), 3)
 
 
-@query()
+_META = f"regs AS (SELECT DISTINCT set_index, {EXP_INDEX} AS id FROM imp), metas AS (SELECT set_index, ({h(SEED + 1)} % 1024)::INT AS register, count(*)::DOUBLE AS value FROM regs GROUP BY ALL)"
+
+
+@query(f"WITH RECURSIVE {IMP}, {_META}, {sequential_sql('metas', 1024)}, act AS (SELECT num_sets, greatest(0, least(round(size), {LENGTH - 1}))::DOUBLE AS target FROM seq), {inverse_sql('act', 'num_sets', EXP_FILL)} {ESTIMATES}")
 def meta_voc_estimate(spark, d):
-    return m.meta_voc_method(EXPONENTIAL, 1024)(imp(spark, d), SEED)
+    return rounded(m.meta_voc_method(EXPONENTIAL, 1024)(imp(spark, d), SEED), 3)
 
 
 @query()
@@ -507,17 +594,21 @@ def legions_posterior_estimate(spark, d):
     return m.liquid_method(DECAY, LENGTH, 0.25, sequential=True)(imp(spark, d), SEED)
 
 
-@query()
+UNITED = "seen AS (SELECT set_index AS num_sets, register, 1 - product(1 - value) OVER (PARTITION BY register ORDER BY set_index) AS uv FROM clean)"
+
+
+@query(f"WITH RECURSIVE {IMP}, {flips_sql(LIQ_INDEX, LENGTH, 0.25)}, {UNITED}, act AS (SELECT num_sets, greatest(0, least(sum(uv), {LENGTH - 1})) AS target FROM seen GROUP BY num_sets), {inverse_sql('act', 'num_sets', EXP_FILL)} {ESTIMATES}")
 def legions_noised_estimate(spark, d):
-    return m.liquid_method(DECAY, LENGTH, 0.25)(imp(spark, d), SEED)
+    """The library inverts the matrix of the flips' transitions; SQL sums unbiased products."""
+    return rounded(m.liquid_method(DECAY, LENGTH, 0.25)(imp(spark, d), SEED), 3)
 
 
-@query()
+@query(f"WITH {IMP}, {flips_sql(CAS_INDEX, 2560, 0.25)}, {UNITED}, cells AS (SELECT num_sets, register // 256 AS legion, pow(2.0::DOUBLE, least(register // 256 + 1, 9)) AS scale, sum(uv) AS active FROM seen GROUP BY ALL), sized AS (SELECT *, CASE WHEN active < 256 THEN -ln(greatest(1 - active / 256, 1e-300::DOUBLE)) * 256 * scale END AS size FROM cells), golden AS (SELECT num_sets, arg_min(greatest(size, 0), legion) FILTER (size < 128 * scale) AS size FROM sized GROUP BY num_sets) SELECT 0 AS run_index, num_sets, round(size, 3) AS estimate FROM golden")
 def cascading_noised_estimate(spark, d):
-    return m.cascading_method(10, 256, 0.25)(imp(spark, d), SEED)
+    return rounded(m.cascading_method(10, 256, 0.25)(imp(spark, d), SEED), 3)
 
 
-@query()
+@query(f"WITH RECURSIVE {IMP}, {flips_sql(LIQ_INDEX, LENGTH, 0.1)}, both_ AS (SELECT register, any_value(value) FILTER (set_index = 1) AS a, any_value(value) FILTER (set_index = 2) AS b FROM clean GROUP BY register), act AS (SELECT part, greatest(0, least(t, {LENGTH - 1})) AS target FROM (SELECT 'a' AS part, sum(a) AS t FROM both_ UNION ALL SELECT 'b', sum(b) FROM both_ UNION ALL SELECT 'ab', sum(1 - (1 - a) * (1 - b)) FROM both_)), {inverse_sql('act', 'part', EXP_FILL)}, w AS (SELECT any_value(n) FILTER (part = 'a') AS a, any_value(n) FILTER (part = 'b') AS b, any_value(n) FILTER (part = 'ab') AS ab FROM inv), e AS (SELECT a, b, greatest(least(a + b, ab), a, b) AS either FROM w) SELECT k::INT AS part, round([0.0::DOUBLE, either - b, either - a, a + b - either][k + 1], 3) AS cardinality FROM e CROSS JOIN range(4) t(k)")
 def legions_venn(spark, d):
     """The parts of two noised legions' Venn diagram."""
     rows = imp(spark, d).where("set_index in (1, 2)")
@@ -530,7 +621,7 @@ def legions_venn(spark, d):
         parts = posterior.venn_of(bits, [0.1, 0.1], LIQUID)
         return pd.DataFrame({"part": range(4), "cardinality": parts})
 
-    return noised.groupBy("run_index").applyInPandas(run, "part int, cardinality double")
+    return noised.groupBy("run_index").applyInPandas(run, "part int, cardinality double").withColumn("cardinality", F.round("cardinality", 3))
 
 
 # ---- noise ---------------------------------------------------------------------------------
@@ -575,9 +666,9 @@ def denoised_union(spark, d):
     return prefixes.fuzzy_or(clean, prefixes.set_grid(rows)).withColumn("active", F.round("active", 6))
 
 
-@query()
+@query(f"WITH RECURSIVE {IMP}, {flips_sql(EXP_INDEX, LENGTH, numerics.flip_probability(log(3)))}, {UNITED}, act AS (SELECT num_sets, greatest(0, least(sum(uv), {LENGTH})) AS target FROM seen GROUP BY num_sets), {inverse_sql('act', 'num_sets', EXP_FILL)} {ESTIMATES}")
 def noised_filter_estimate(spark, d):
-    return m.filter_method(EXPONENTIAL, log(3))(imp(spark, d), SEED)
+    return rounded(m.filter_method(EXPONENTIAL, log(3))(imp(spark, d), SEED), 3)
 
 
 @query(f"WITH {IMP}, {VOC_SQL}, full_ AS (SELECT s.run_index, s.set_index, r.k::INT AS register, coalesce(value, 0.0::DOUBLE) AS v FROM (SELECT DISTINCT run_index, set_index FROM imp) s CROSS JOIN range(64) r(k) LEFT JOIN voc ON voc.set_index = s.set_index AND voc.register = r.k) SELECT run_index, set_index, register, round(v + {lap(chr(39) + '7' + chr(39), 'run_index::VARCHAR', 'set_index::VARCHAR', 'register::VARCHAR').format(scale='1.0::DOUBLE')}, 6) AS value FROM full_")
@@ -586,7 +677,10 @@ def noised_counts(spark, d):
     return noisers.noised_counts(VOC.build(rows), rows, 64, 1.0, SEED).withColumn("value", F.round("value", 6))
 
 
-@query()
+_ADD = h60_sql("'7'", "'add'", "run_index::VARCHAR", "set_index::VARCHAR", "t::VARCHAR")
+
+
+@query(f"WITH {IMP}, held AS (SELECT DISTINCT * FROM imp), sizes AS (SELECT run_index, set_index, count(*) AS n FROM held GROUP BY ALL), tries AS (SELECT run_index, set_index, unnest(range(1, (20 + n) * 2 + 65)) AS t FROM sizes), drawn AS (SELECT run_index, set_index, {_ADD} % 1000000 AS id, min(t) AS t FROM tries GROUP BY ALL), fresh AS (SELECT * FROM drawn ANTI JOIN held USING (run_index, set_index, id)) SELECT run_index, set_index, id FROM held UNION ALL SELECT run_index, set_index, id FROM (SELECT * FROM fresh QUALIFY row_number() OVER (PARTITION BY run_index, set_index ORDER BY t) <= 20)")
 def add_random_elements(spark, d):
     return noisers.add_random_elements(imp(spark, d).distinct(), 20, 1_000_000, SEED)
 
@@ -602,10 +696,11 @@ def noised_levels(spark, d):
 RUNS, UNIVERSE = 2, 2000
 
 
-def sample_sql(sizes: list[int], universe: int = UNIVERSE, label: str = "set", runs: int = RUNS) -> str:
-    listed = ", ".join(f"({i + 1}, {s})" for i, s in enumerate(sizes))
-    order = h60_sql("'7'", f"'{label}'", "run_index::VARCHAR", "set_index::VARCHAR", "id::VARCHAR")
-    return f"(SELECT run_index, set_index, id FROM (SELECT r.run_index::INT AS run_index, s.set_index, s.size, i.id FROM range({runs}) r(run_index) CROSS JOIN (VALUES {listed}) s(set_index, size) CROSS JOIN range({universe}) i(id)) QUALIFY row_number() OVER (PARTITION BY run_index, set_index ORDER BY {order}, id) <= size)"
+def sample_sql(sizes: list[int], universe: int = UNIVERSE, label: str = "set", runs: int = RUNS, seed: int = SEED) -> str:
+    """The first `size` different ids among hashed draws (here of twice the universe's draws, more than can be needed)."""
+    listed_ = ", ".join(f"({i + 1}, {s})" for i, s in enumerate(sizes))
+    draw = h60_sql(f"'{seed}'", f"'{label}'", "run_index::VARCHAR", "set_index::VARCHAR", "t::VARCHAR")
+    return f"(SELECT run_index, set_index, id FROM (SELECT run_index, set_index, size, {draw} % {universe} AS id, min(t) AS t FROM (SELECT r.run_index::INT AS run_index, s.set_index, s.size, i.t FROM range({runs}) r(run_index) CROSS JOIN (VALUES {listed_}) s(set_index, size) CROSS JOIN range(1, {2 * universe + 1}) i(t)) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY run_index, set_index ORDER BY t) <= size)"
 
 
 @query(f"SELECT * FROM {sample_sql([50, 200, 700])}")
@@ -641,7 +736,12 @@ def gen_correlated_all(spark, d):
     return gen.SequentiallyCorrelated("original", "all", 0.5, [100, 100, 200]).generate(spark, RUNS, SEED)
 
 
-@query()
+_BOW_ENDS = np.cumsum(gen.BOW_SHARES)
+_BOW_GROUP = "CASE " + " ".join(f"WHEN g < {float(e)!r}::DOUBLE THEN {i}" for i, e in enumerate(_BOW_ENDS)) + f" ELSE {len(_BOW_ENDS) - 1} END"
+_BOW_SIZES = ", ".join(f"({s}, {n}, {i}, {int(min(1.0, n / UNIVERSE * x) * round(float(share) * UNIVERSE))})" for s, n in ((1, 100), (2, 400)) for i, (share, x) in enumerate(zip(np.diff(_BOW_ENDS, prepend=0.0), gen.BOW_LEVELS)))
+
+
+@query(f"WITH people AS (SELECT r.r::INT AS run_index, s.s::INT AS set_index, i.i AS id, {u(chr(39) + '7' + chr(39), chr(39) + 'bow' + chr(39), 'r.r::VARCHAR', 's.s::VARCHAR', 'i.i::VARCHAR')} AS g FROM range({RUNS}) r(r) CROSS JOIN range(1, 3) s(s) CROSS JOIN range({UNIVERSE}) i(i)), grouped AS (SELECT *, {_BOW_GROUP} AS stratum FROM people), sizes(set_index, size, stratum, wanted) AS (VALUES {_BOW_SIZES}) SELECT run_index, set_index, id FROM (SELECT g.*, wanted FROM grouped g JOIN sizes s ON s.set_index = g.set_index AND s.stratum = g.stratum) QUALIFY row_number() OVER (PARTITION BY run_index, set_index, stratum ORDER BY {h60_sql(chr(39) + '7' + chr(39), chr(39) + 'set' + chr(39), 'run_index::VARCHAR', 'set_index::VARCHAR', 'id::VARCHAR')}, id) <= wanted")
 def gen_exponential_bow(spark, d):
     return gen.ExponentialBow("independent", UNIVERSE, [100, 400]).generate(spark, RUNS, SEED)
 
@@ -676,15 +776,36 @@ def raw_results_exact(spark, d):
     return simulate.raw_results(imp(spark, d), EXACT, SEED, 3)
 
 
-@query()
+_RAW_INDEX = decaying_sql(exp(-DECAY / 100_001), 100_000)
+
+
+@query(f"WITH RECURSIVE {KPLUS}, {prefix_active_sql(_RAW_INDEX)}, {inverse_sql('act', 'num_sets', exponential_fill_sql(100_000, DECAY))} SELECT 0 AS run_index, num_sets, round(n, 3) AS estimated_cardinality_1, cardinality AS true_cardinality_1, 0.0::DOUBLE AS shuffle_distance, round((n - cardinality) / cardinality, 6) + 0.0::DOUBLE AS relative_error_1 FROM inv JOIN kplus USING (num_sets) WHERE frequency_level = 1")
 def raw_results_filter(spark, d):
-    return simulate.raw_results(imp(spark, d), registry.exp_filter(100_000), SEED)
+    raw = simulate.raw_results(imp(spark, d), registry.exp_filter(100_000), SEED)
+    return raw.withColumns({"estimated_cardinality_1": F.round("estimated_cardinality_1", 3), "relative_error_1": F.round("relative_error_1", 6) + 0.0})
 
 
-@query()
+@query(f"WITH {KPLUS}, e AS (SELECT num_sets, frequency_level, cardinality * (1 + num_sets * frequency_level / 10.0::DOUBLE) AS estimate, cardinality FROM kplus WHERE frequency_level <= 3), w AS (SELECT num_sets, " + ", ".join(f"max(estimate) FILTER (frequency_level = {k}) AS e{k}, max(cardinality) FILTER (frequency_level = {k}) AS t{k}" for k in (1, 2, 3)) + " FROM e GROUP BY num_sets) SELECT 0 AS run_index, num_sets, " + ", ".join(f"round(e{k}, 6) AS estimated_cardinality_{k}, t{k} AS true_cardinality_{k}, round((e{k} - t{k}) / t{k}, 6) AS relative_error_{k}" for k in (1, 2, 3)) + ", round((abs((e1 - e2) / e1 - (t1 - t2) / t1::DOUBLE) + abs((e2 - e3) / e1 - (t2 - t3) / t1::DOUBLE) + abs(e3 / e1 - t3 / t1::DOUBLE)) / 2, 6) AS shuffle_distance FROM w")
+def raw_results_off(spark, d):
+    """Errors and shuffle distance of estimates that are off by a known factor, which differs by level."""
+
+    def estimate(rows, seed):
+        levels = prefixes.level_reach(rows, 3)
+        return levels.select("run_index", "num_sets", "frequency_level", (F.col("cardinality") * (1 + F.col("num_sets") * F.col("frequency_level") / 10.0)).alias("estimate"))
+
+    raw = simulate.raw_results(imp(spark, d), m.Method("off", estimate, 3), SEED, 3)
+    return raw.select("run_index", "num_sets", *[c if c.startswith("true_") else F.round(c, 6).alias(c) for c in raw.columns if c not in ("run_index", "num_sets")])
+
+
+_SMOKE_SEED = h60_value("sketch", 2) % (1 << 31)
+_SMOKE_METRICS = ("estimated_cardinality_1", "true_cardinality_1", "shuffle_distance", "relative_error_1")
+
+
+@query(f"WITH imp AS MATERIALIZED {sample_sql([2000] * 5, 20_000, 'set', 5, 1)}, firsts AS (SELECT run_index, {h(_SMOKE_SEED)} % 100000 AS register, min(set_index) AS s FROM imp GROUP BY ALL), ids AS (SELECT run_index, id, min(set_index) AS s FROM imp GROUP BY ALL), raw AS (SELECT r.run_index, g.n AS num_sets, (SELECT count(*) FROM firsts f WHERE f.run_index = r.run_index AND f.s <= g.n) AS x, (SELECT count(*) FROM ids f WHERE f.run_index = r.run_index AND f.s <= g.n) AS true_cardinality_1 FROM (SELECT DISTINCT run_index FROM imp) r CROSS JOIN range(1, 6) g(n)), e AS (SELECT num_sets::INT AS num_sets, -100000 * ln(1 - x / 100000.0::DOUBLE) AS estimated_cardinality_1, true_cardinality_1::DOUBLE AS true_cardinality_1, 0.0::DOUBLE AS shuffle_distance, (-100000 * ln(1 - x / 100000.0::DOUBLE) - true_cardinality_1) / true_cardinality_1 AS relative_error_1 FROM raw) SELECT num_sets, " + ", ".join(f"round(avg({c}), 6) + 0.0::DOUBLE AS {c}_mean, round(stddev_samp({c}), 6) + 0.0::DOUBLE AS {c}_std" for c in _SMOKE_METRICS) + " FROM e GROUP BY num_sets")
 def simulate_smoke(spark, d):
     """A small run of a whole scenario: 5 runs of 5 independent sets under the uniform filter."""
-    return simulate.aggregated(simulate.simulate(spark, gen.Independent(20_000, [2000] * 5), registry.uniform_filter(100_000), 5))
+    found = simulate.aggregated(simulate.simulate(spark, gen.Independent(20_000, [2000] * 5), registry.uniform_filter(100_000), 5))
+    return found.select("num_sets", *[(F.round(c, 6) + 0.0).alias(c) for c in found.columns if c != "num_sets"])
 
 
 RAW = "raw AS (SELECT l_returnflag AS sketch_estimator, l_linestatus AS scenario, (l_orderkey % 20)::INT AS run_index, l_linenumber AS num_sets, round(avg(l_discount) - 0.05, 9) AS relative_error_1, round(sum(l_quantity), 6) AS estimated_cardinality_1, round(sum(l_quantity) / 2, 6) AS estimated_cardinality_2, round(sum(l_tax), 6) AS true_cardinality_1, round(sum(l_tax) / 2, 6) AS true_cardinality_2 FROM lineitem GROUP BY ALL)"
@@ -773,7 +894,7 @@ def parsed_names(spark, d):
     return report.with_name_parts(rows, "name")
 
 
-@query()
+@query(f"WITH {ESTIMABLE}, s AS (SELECT error_margin, proportion_of_runs, e.sketch_estimator, e.scenario, num_estimable_sets, round(avg(relative_error_1), 6) AS mean, round(stddev_samp(relative_error_1), 6) AS std FROM estimable e LEFT JOIN raw r ON r.sketch_estimator = e.sketch_estimator AND r.scenario = e.scenario AND r.num_sets = num_estimable_sets GROUP BY ALL), c AS (SELECT round(proportion_of_runs * 100)::INT || '%/' || round(error_margin * 100)::INT || '%' AS criteria, sketch_estimator, scenario, num_estimable_sets || ' (' || coalesce(printf('%.4f', round(mean, 4)), 'nan') || ', ' || coalesce(printf('%.4f', round(std, 4)), 'nan') || ')' AS cell FROM s) SELECT criteria, sketch_estimator, coalesce(max(cell) FILTER (scenario = 'F'), '') AS \"F\", coalesce(max(cell) FILTER (scenario = 'O'), '') AS \"O\" FROM c GROUP BY ALL")
 def pivoted_report(spark, d):
     return report.pivoted(summary(spark, d))
 

@@ -1,6 +1,6 @@
 """Set and multiset generators: reproducible impressions (run_index, set_index, id).
 
-Sampling is by hash: an id's rank among the hashes of its (seed, run, set) decides, so sizes
+Sampling is by hash: the hashes of (seed, run, set, number of the draw) are the draws, so sizes
 are exact, nothing depends on partitioning, and another SQL engine draws the same sample.
 """
 
@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyspark.functions.hashing import h60, h60_value, uniform
@@ -31,18 +32,28 @@ def hash_ranked(rows: DataFrame, keys: list[str], order: Column, size: Column) -
     return rows.withColumn("_place", place).where(F.col("_place") <= size).drop("_place")
 
 
-def sampled(sets: DataFrame, universe_size: int, seed: int, label: str = "set") -> DataFrame:
-    """set_size ids of each set, without replacement, from range(universe_size).
+def sampled(spark: SparkSession, runs: int, sizes: list[int], universe_size: int, seed: int, label: str = "set") -> DataFrame:
+    """(run_index, set_index, id): sizes[i] ids of each set, without replacement, from range(universe_size).
 
-    Each set's candidates are generated in place and cut by a hash threshold a little over the share
-    needed; only those few are ranked. The threshold keeps enough but for a chance below 1e-12 a set.
+    Ids are drawn with replacement, by the hash of their number, until there are enough different ones; the first of these make the
+    set. So a set of m costs about m draws, however large the universe is: universe * ln(universe / (universe - m)) are expected,
+    and 8 deviations more are made. A set of over half the universe is everything but a sample of the rest.
     """
-    rows = sets.withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(universe_size - 1).cast("long"))))
-    h = h60(seed, label, F.col("run_index"), F.col("set_index"), F.col("id"))
-    share = F.col("set_size") / float(universe_size)
-    most = F.least(F.lit(1.0), share + 8 * F.sqrt(share / universe_size) + 64.0 / universe_size)
-    rows = rows.withColumn("h", h).where(F.col("h") <= most * float(1 << 60))
-    return hash_ranked(rows, ["run_index", "set_index"], F.col("h"), F.col("set_size")).select("run_index", "set_index", "id")
+    if max(sizes, default=0) > universe_size:
+        raise ValueError(f"a set of {max(sizes)} doesn't fit in a universe of {universe_size}")
+    most = [universe_size - s if 2 * s > universe_size else s for s in sizes]
+    draws = [u + 8 * np.sqrt(u) + 64 if u else 0 for u in (-universe_size * np.log1p(-m / universe_size) for m in most)]
+    rows = runs_and_sets(spark, runs, [int(np.ceil(d)) for d in draws]).where("set_size > 0").withColumn("t", F.explode(F.sequence(F.lit(1).cast("long"), F.col("set_size").cast("long"))))
+    drawn = rows.select("run_index", "set_index", F.pmod(h60(seed, label, F.col("run_index"), F.col("set_index"), F.col("t")), F.lit(universe_size)).alias("id"), "t")
+    firsts = drawn.groupBy("run_index", "set_index", "id").agg(F.min("t").alias("t"))
+    size = F.element_at(F.array(*[F.lit(int(m)) for m in most]), F.col("set_index"))
+    place = F.row_number().over(Window.partitionBy("run_index", "set_index").orderBy("t"))
+    chosen = firsts.withColumn("_place", place).where(F.col("_place") <= size).select("run_index", "set_index", "id")
+    large = [i + 1 for i, s in enumerate(sizes) if 2 * s > universe_size]
+    if not large:
+        return chosen
+    all_ = runs_and_sets(spark, runs, sizes).where(F.col("set_index").isin(large)).select("run_index", "set_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(universe_size - 1).cast("long"))).alias("id"))
+    return chosen.where(~F.col("set_index").isin(large)).unionAll(all_.join(chosen, ["run_index", "set_index", "id"], "left_anti"))
 
 
 def pool_positions(spark: SparkSession, runs: int, size: int, universe_size: int | None, seed: int) -> DataFrame:
@@ -83,7 +94,7 @@ class Independent(Generator):
     set_sizes: list[int]
 
     def generate(self, spark: SparkSession, runs: int, seed: int) -> DataFrame:
-        return sampled(runs_and_sets(spark, runs, self.set_sizes), self.universe_size, seed)
+        return sampled(spark, runs, self.set_sizes, self.universe_size, seed)
 
 
 #: The four activity levels of the exponential bow, their shares of people, and the least set.
@@ -138,7 +149,7 @@ class FullyOverlapping(Generator):
         return [self.set_size] * self.num_sets_
 
     def generate(self, spark: SparkSession, runs: int, seed: int) -> DataFrame:
-        one = sampled(runs_and_sets(spark, runs, [self.set_size]), self.universe_size, seed)
+        one = sampled(spark, runs, [self.set_size], self.universe_size, seed)
         return one.withColumn("set_index", F.explode(F.sequence(F.lit(1), F.lit(self.num_sets_))))
 
 
@@ -159,7 +170,7 @@ class Subset(Generator):
         return sizes[::-1] if self.order == "reversed" else sizes
 
     def generate(self, spark: SparkSession, runs: int, seed: int) -> DataFrame:
-        large = sampled(runs_and_sets(spark, runs, [self.large_set_size]), self.universe_size, seed)
+        large = sampled(spark, runs, [self.large_set_size], self.universe_size, seed)
         again = F.row_number().over(Window.partitionBy("run_index").orderBy(h60(seed, "subset", F.col("run_index"), F.col("id")), "id"))
         n = self.num_large_sets + self.num_small_sets
         rows = large.withColumn("again", again).withColumn("set_index", F.explode(F.sequence(F.lit(1), F.lit(n))))
@@ -268,12 +279,32 @@ def homogeneous(universe_size: int, set_sizes: list[int], freq_rates: list[float
     return HomogeneousPmf(universe_size, set_sizes, [truncated_poisson(r, top).tolist() for r in freq_rates])
 
 
+def negative_binomial(u: Column, shape: float, q: float) -> Column:
+    """The number whose cumulative probability first reaches u, without an upper end."""
+
+    @F.pandas_udf("long")
+    def inverse(values: pd.Series) -> pd.Series:
+        x = values.to_numpy(np.float64)
+        size, ends = 1024, np.zeros(0)
+        while True:
+            k = np.arange(1, size)
+            steps = np.concatenate([[shape * np.log1p(-q)], np.log((k - 1 + shape) / k * q)])
+            ends = np.cumsum(np.exp(np.cumsum(steps)))
+            # rounding may keep the sum below the largest u: then no further term changes it
+            if not len(x) or ends[-1] >= x.max() or ends[-1] == ends[size // 2]:
+                break
+            size *= 2
+        return pd.Series(np.searchsorted(ends, x, side="left"))
+
+    return inverse(u)
+
+
 @dataclass(frozen=True)
 class Heterogeneous(Generator):
     """One plus a Poisson number whose rate is gamma distributed over people, optionally capped.
 
     Shape 1 makes it geometric, in closed form; other shapes invert the negative binomial's
-    cumulative probabilities, which are a plan-time constant.
+    cumulative probabilities, as far as the uniform numbers reach.
     """
 
     universe_size: int
@@ -290,12 +321,7 @@ class Heterogeneous(Generator):
             if shape == 1:
                 own = F.floor(F.ln(1 - u) / float(np.log(q))) + 1
             else:
-                p, total, pmf = (1 - q) ** shape, 0.0, []
-                while total < 1 - 1e-12 and len(pmf) < 1000:
-                    pmf.append(p)
-                    total += p
-                    p *= (len(pmf) - 1 + shape) / len(pmf) * q
-                own = by_pmf(u, np.array(pmf + [max(0.0, 1 - total)]))
+                own = negative_binomial(u, shape, q) + 1
             frequency = F.when(F.col("set_index") == i + 1, own.cast("long")).otherwise(frequency)
         return repeated(rows, F.least(frequency, F.lit(self.freq_cap)) if self.freq_cap else frequency)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +22,11 @@ def order_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users reached by each type of event, in the types' order: nearly the same users everywhere."""
-    events = read(spark, sf_dir, "events")
-    # event types are a handful: their sorted list is one bounded row
-    names = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").limit(1000).collect()]
-    return impressions(events, F.array_position(F.array(*map(F.lit, names)), F.col("event_type")), F.col("user_id"))
+    events = read(spark, sf_dir, "events").select("event_type", "user_id").where("event_type is not null")
+    types = events.select("event_type").distinct()
+    # one row a set
+    types = types.withColumn("number", F.row_number().over(Window.orderBy("event_type")))
+    return impressions(events.join(types, "event_type"), F.col("number"), F.col("user_id"))
 
 
 def read_csv_results(spark: SparkSession, path: str, max_frequency: int) -> DataFrame:

@@ -6,7 +6,7 @@ from tallyspark.queries import K3, QUERIES
 from tallyspark.sources import tables
 
 
-def test_bloom_membership_whole(spark, tmp_path):
+def test_bloom_membership(spark, tmp_path):
     data = [(f"{1 + i % 5}-X", 400 + 7 * i) for i in range(150)]
     spark.createDataFrame(data, "o_orderpriority string, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     imps = tables.order_impressions(spark, str(tmp_path))
@@ -16,5 +16,5 @@ def test_bloom_membership_whole(spark, tmp_path):
     for r in imps.collect():
         bits[r.set_index] |= registers[r.id]
     want = sorted((s, i) for s in bits for i in registers if registers[i] <= bits[s])
-    got = sorted((r.set_index, r.id) for r in QUERIES["bloom_membership_whole"](spark, str(tmp_path)).collect())
+    got = sorted((r.set_index, r.id) for r in QUERIES["bloom_membership"](spark, str(tmp_path)).collect())
     assert got == want and max(i for _, i in got) == 400 + 7 * 149

@@ -311,3 +311,73 @@ def test_empty_sets_keep_their_row(imps):
     voc = sk.VectorOfCounts(num_buckets=4)
     rows = folds.voc_prefixes(voc.build(df.where("set_index = 1")), df, 4, alg.CountAlgebra()).collect()
     assert {r.num_sets for r in rows} == {1, 2}
+
+
+# ---- sampling, evaluation and reports ------------------------------------------------------
+
+
+def test_sampling_costs_what_it_draws(spark):
+    """Sizes are exact at any share of the universe, and a small sample of a huge universe is cheap."""
+    for universe, sizes in ((100, [1, 40, 50, 51, 99, 100]), (10**15, [10, 1000])):
+        rows = gen.Independent(universe, sizes).generate(spark, 2, 5).collect()
+        for run in range(2):
+            for i, size in enumerate(sizes):
+                own = [r.id for r in rows if (r.run_index, r.set_index) == (run, i + 1)]
+                assert len(own) == len(set(own)) == size and min(own) >= 0 and max(own) < universe
+    with pytest.raises(ValueError):
+        gen.Independent(10, [11]).generate(spark, 1, 1)
+
+
+def test_sampling_is_even(spark):
+    rows = gen.Independent(50, [10, 40]).generate(spark, 400, 3).groupBy("set_index", "id").count().collect()
+    for i, share in ((1, 0.2), (2, 0.8)):
+        own = np.array([r["count"] for r in rows if r.set_index == i])
+        assert len(own) == 50 and abs(own / 400 - share).max() < 5 * (share * (1 - share) / 400) ** 0.5
+
+
+def test_heavy_tails_have_no_end(spark):
+    """Frequencies over 1,000 of a gamma-Poisson mixture keep their own values."""
+    rows = gen.Heterogeneous(4000, [2000], [(0.5, 3000.0)]).generate(spark, 1, 2).groupBy("id").count().collect()
+    counts = np.array([r["count"] for r in rows])
+    assert len(counts) == 2000 and (counts > 1001).sum() > 400 and len(set(counts[counts > 1001])) > 300
+    assert abs(counts.mean() / 1501 - 1) < 0.15
+
+
+def test_pooled_strata(spark):
+    from tallyspark.operators import sketches as sk
+
+    df = spark.createDataFrame([(0, 1, 7), (0, 2, 7), (0, 2, 8), (0, 3, 7), (1, 1, 8)], "run_index int, set_index int, id long")
+    pooled = sk.pooled_strata(df, sk.Stratified(inner=sk.ExactMultiSet(), max_frequency=3))
+    got = {(r.run_index, r.set_index, r.stratum, r.id) for r in pooled.collect()}
+    assert got == {(0, 0, "3+", 7), (0, 0, "1", 8), (0, 0, "1+", 7), (0, 0, "1+", 8), (1, 0, "1", 8), (1, 0, "1+", 8)}
+
+
+@pytest.mark.parametrize("kind", ["parquet", "csv"])
+def test_command_line(tmp_path, spark, kind):
+    from tallyspark.plans import cli, evaluate, registry
+
+    names = [m.name for m in registry.cardinality_methods()][:2]
+    options = ["--evaluation", "smoke_test", "--methods", *names, "--out", str(tmp_path / "out"), "--num-runs", "2", "--universe-size", "2000", "--num-workers", "2", "--format", kind, "--analysis-out", str(tmp_path / "analysis"), "--report-out", str(tmp_path / "page")]
+    cli.main(options)
+    raw = evaluate.read_results(spark, str(tmp_path / "out"), kind)
+    types = dict(raw.dtypes)
+    assert (types["num_sets"], types["true_cardinality_1"], types["relative_error_1"], types["scenario"]) == ("int", "bigint", "double", "string")
+    assert {r.sketch_estimator for r in raw.select("sketch_estimator").distinct().collect()} == set(names)
+    page = (tmp_path / "page" / "report.html").read_text()
+    assert "By privacy budget" in page and page.count("<svg") >= 2 and all(n in page for n in names)
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        cli.main(options)
+
+
+def test_frequency_report(tmp_path, spark):
+    from tallyspark.plans import analyze, report
+
+    rows = [("a-1-b-ln3-infty", "s", r, n, float(100 * n // k), 100 * n // k, 0.01 * r, 0.02) for r in range(3) for n in (1, 2) for k in (1,)]
+    raw = spark.createDataFrame(rows, "sketch_estimator string, scenario string, run_index int, num_sets int, estimated_cardinality_1 double, true_cardinality_1 long, relative_error_1 double, shuffle_distance double")
+    summary = analyze.summary(spark, raw, [(0.05, 0.9)], "frequency")
+    bars = analyze.bar_plot(analyze.at_most_sets(analyze.per_frequency(analyze.long_frequencies(raw))))
+    times = spark.createDataFrame([("a-1-b-ln3-infty", 0.5)], "sketch_estimator string, running_time double")
+    path = report.report(summary, times, analyze.box_plot(raw, "shuffle_distance"), str(tmp_path / "r.html"), "shuffle_distance", bars=bars)
+    page = open(path).read()
+    assert "Cardinality by frequency" in page and "sketch epsilon ln3, estimate epsilon infty" in page and page.count("<svg") == 2
+    assert list(report.by_epsilons(summary, "shuffle_distance")) == ["sketch epsilon ln3, estimate epsilon infty"]
