@@ -8,8 +8,9 @@ also starts in a document with a smaller id.
    minimum occurs. Only strings whose minimum is shared can repeat, so a bitmap of
    fixed size of the shared minima is broadcast and a second pass keeps the
    stretches under it, cut where the minimum changes.
-2. Stretches are dealt to shards by their minimum, so equal strings meet. The
-   most frequent minima are salted by document: their strings are spread over
+2. Stretches are dealt to shards by their minimum, so equal strings meet. A frequent
+   minimum is subdivided first: every string around its 16 bytes has 17 bytes more after or before them, which go into its key, so that
+   what meets is equal over 33 bytes. Its strings are also salted by document, over
    `SALTS` shards.
 3. Stretches equal to one of a smaller document go whole. Of the others a shard builds
    the suffix array by Larsson-Sadakane refinement (only groups that are still equal
@@ -42,8 +43,10 @@ LENGTH, GRAM = 50, 16
 #: Fixed bounds: bits of the broadcast bitmap; bytes of a suffix array; windows of a stretch.
 BITMAP_BITS, SHARD_BYTES, STRETCH = 27, 1 << 19, 4096
 COPY_BITS = 24
-#: A minimum is salted if over HOT documents have it and it is among the HOT_KEYS most frequent.
-HOT, HOT_KEYS, SALTS = 2000, 4096, 16
+#: A minimum is frequent if over HOT documents have it (a filter of 2^HOT_BITS bits holds these); its strings are salted.
+HOT, HOT_BITS, SALTS = 2000, 24, 16
+#: Bytes beside the minimum's gram that subdivide a frequent one: a string has so many before or after it.
+BESIDE = (LENGTH - GRAM) // 2
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -53,17 +56,21 @@ def words_at(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data),), "<u8", padded, strides=(1,)).copy()
 
 
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Per position the hash of the 16 bytes from there on."""
+    w = words_at(data)
+    with np.errstate(over="ignore"):
+        h = w.copy()
+        h[:-8] ^= (w[8:] << np.uint64(29) | w[8:] >> np.uint64(35)) * tk.MIX[1]
+        return tk.mixed(h)
+
+
 def minima(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per position the minimum of the string that starts there, and whether it ends inside its text."""
     n = len(data)
     if n < LENGTH:
         return np.zeros(n, np.uint64), np.zeros(n, dtype=bool)
-    w = words_at(data)
-    with np.errstate(over="ignore"):
-        h = w.copy()
-        h[:-8] ^= (w[8:] << np.uint64(29) | w[8:] >> np.uint64(35)) * tk.MIX[1]
-        h = tk.mixed(h)
-    span, low = 1, h
+    span, low = 1, gram_hashes(data)
     width = LENGTH - GRAM + 1
     while span * 2 <= width:
         low = np.minimum(low[:-span], low[span:])
@@ -98,7 +105,29 @@ def anchors(texts: DataFrame, but: Broadcast | None) -> DataFrame:
     return texts.select("version", "text").mapInArrow(lambda rows: tidied(run(rows)), "m long")
 
 
-def stretches(texts: DataFrame, but: Broadcast | None, shared: Broadcast, hot: np.ndarray) -> DataFrame:
+def subdivided(data: np.ndarray, begin: np.ndarray, end: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, begin, end, key): stretches of frequent minima, cut where the bytes beside the minimum's gram change sides.
+
+    A string's gram is the first in it that has the minimum, so equal strings have equal keys.
+    """
+    h = gram_hashes(data)
+    w = words_at(data)
+    sizes = end - begin
+    own = np.repeat(np.arange(len(begin)), sizes)
+    start = np.arange(len(own)) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)
+    low, gram = value[own], np.zeros(len(own), np.int64)
+    for ahead in range(LENGTH - GRAM, -1, -1):
+        at = start + ahead
+        gram = np.where(h[at] == low, at, gram)
+    after = gram - start <= BESIDE
+    place = np.where(after, gram + GRAM, gram - BESIDE)
+    key = tk.mixed(low ^ tk.mixed(w[place] ^ tk.mixed(w[place + 8] ^ tk.mixed(data[place + BESIDE - 1].astype(np.uint64) + after.astype(np.uint64) * np.uint64(256)))))
+    new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (key[1:] != key[:-1])])) if len(own) else own
+    last = np.append(new[1:] - 1, len(own) - 1) if len(own) else new
+    return own[new], start[new], start[last] + 1, key[new]
+
+
+def stretches(texts: DataFrame, but: Broadcast | None, shared: Broadcast, hot: Broadcast) -> DataFrame:
     """(m, salt, doc_id, version, at, bytes): runs of strings with one shared minimum; without the
     texts whose version is in the bitmap `but`."""
 
@@ -120,20 +149,25 @@ def stretches(texts: DataFrame, but: Broadcast | None, shared: Broadcast, hot: n
                 begin = starts[new]
                 end = np.append(starts[np.flatnonzero(new)[1:] - 1], starts[-1]) + 1
                 value, text = value[new], text[new]
+                often = has_bit(hot.value, value)
+                if often.any():
+                    of, b, e, key = subdivided(data, begin[often], end[often], value[often])
+                    rest = ~often
+                    begin, end, value, text = np.concatenate([begin[rest], b]), np.concatenate([end[rest], e]), np.concatenate([value[rest], key]), np.concatenate([text[rest], text[often][of]])
+                    often = np.concatenate([np.zeros(int(rest.sum()), dtype=bool), np.ones(len(b), dtype=bool)])
                 # a run of one minimum can be long only in periodic text
                 pieces = -(-(end - begin) // STRETCH)
                 if (pieces > 1).any():
                     back = np.repeat(np.arange(len(begin)), pieces)
                     step = np.arange(len(back)) - np.repeat(np.concatenate([[0], np.cumsum(pieces)[:-1]]), pieces)
-                    begin, end, value, text = begin[back] + step * STRETCH, np.minimum(begin[back] + (step + 1) * STRETCH, end[back]), value[back], text[back]
+                    begin, end, value, text, often = begin[back] + step * STRETCH, np.minimum(begin[back] + (step + 1) * STRETCH, end[back]), value[back], text[back], often[back]
                 sizes = end - begin + LENGTH - 1
                 cut = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 flat = data[np.repeat(begin - cut[:-1], sizes) + np.arange(cut[-1])]
                 rows = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(flat))])
                 owner = ids[first + text]
                 key = value.view(np.int64)
-                salted = np.isin(key, hot)
-                salt = np.where(salted, tk.seeded(owner.astype(np.int64).view(np.uint64), 3) % np.uint64(SALTS) + np.uint64(1), 0).astype(np.int32)
+                salt = np.where(often, tk.seeded(owner.astype(np.int64).view(np.uint64), 3) % np.uint64(SALTS) + np.uint64(1), 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt), pa.array(owner), pa.array(versions[first + text]), pa.array(begin - offsets[text]), rows], ["m", "salt", "doc_id", "version", "at", "bytes"])
 
     return texts.select("doc_id", "version", "text").mapInArrow(lambda rows: tidied(run(rows)), "m long, salt int, doc_id long, version long, at long, bytes binary")
@@ -400,12 +434,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, version, spans): what to remove; version is the text's hash, as ids may repeat."""
     texts, copies = without_copies(docs)
     shared = materialize(united([anchors(*t) for t in texts]).groupBy("m").agg(F.count("*").alias("n")).where("n > 1"), "minima")
-    hot = np.array([r.m for r in shared.where(F.col("n") > HOT).orderBy(F.desc("n"), "m").limit(HOT_KEYS).collect()], dtype=np.int64)
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(shared, "m", BITMAP_BITS))
+    context = docs.sparkSession.sparkContext
+    often = bitmap(shared.where(F.col("n") > HOT), "m", HOT_BITS)
+    hot, bits = context.broadcast(often), context.broadcast(bitmap(shared, "m", BITMAP_BITS))
     found = materialize(sharded(united([stretches(*t, bits, hot) for t in texts])), "spans")
     where = ["doc_id", "version", "at", "size"]
     parts = [copies.select(*where), found.where("bytes is null").select(*where)]
-    if len(hot):
+    if often.any():
         parts.append(merged(found.where("bytes is not null")).select(*where))
     spans = united(parts)
     return spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "size")).alias("spans"))

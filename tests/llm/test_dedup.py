@@ -313,3 +313,76 @@ def test_neighbouring_passages_from_far_apart(spark, turned):
     assert set(range(80, 200)) <= found and len(found) <= 140
     (pair,) = substring_dedup.passage_pairs(df).collect()
     assert (pair.doc_id, pair.other_doc_id, pair.n_words) == (2, 1, got.n_dup_words)
+
+
+@pytest.mark.parametrize("between", [1, 4, 12])
+def test_scattered_phrases_dont_hide_a_copy(spark, monkeypatch, between):
+    """Documents that hold all of a passage's 5-word phrases, but scattered, stand before and between its two copies."""
+    monkeypatch.setattr(substring_dedup, "WHOLE", 4)
+    passage = prose(11, 60).replace("\n", " ").split()
+
+    def scattered(i):
+        return " ".join(f"{' '.join(passage[j : j + 5])} {prose(9000 + 100 * i + j, 6)}" for j in range(0, 56, 1))
+
+    data = [(i, scattered(i)) for i in range(between)] + [(200 + i, scattered(50 + i)) for i in range(between)]
+    data += [(i, f"{prose(20 + i, 50)} {' '.join(passage)} {prose(30 + i, 50)}") for i in (100, 300)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.other_doc_id): r for r in substring_dedup.passage_pairs(df).collect()}
+    assert (300, 100) in got and 60 <= got[300, 100].n_words <= 64
+
+
+def exact_repeats(data, n=50):
+    """Of each document the words that n equal words in a row cover that an earlier document has, too."""
+    first, out = {}, {}
+    for d, t in sorted(data):
+        w = words(t)
+        found = set()
+        for i in range(len(w) - n + 1):
+            if first.setdefault(tuple(w[i : i + n]), d) < d:
+                found.update(range(i, i + n))
+        out[d] = found
+    return out
+
+
+@pytest.mark.parametrize("whole", [32, 2])
+def test_passage_pairs_against_brute_force(spark, monkeypatch, whole):
+    """Passages of 50 words and more among common lines: every exact repeat is found, at any size of a group, every pair that is
+    returned shares a passage, and near copies are found, too."""
+    import random
+
+    monkeypatch.setattr(substring_dedup, "WHOLE", whole)
+    rng = random.Random(whole)
+    lines = [prose(i, 24).replace("\n", " ") for i in range(6)]
+    planted = [prose(50 + i, rng.randint(50, 120)).replace("\n", " ") for i in range(12)]
+    data, near = [], {}
+    for d in range(120):
+        parts = [prose(1000 + 10 * d + j, rng.randint(5, 60)).replace("\n", " ") for j in range(4)]
+        parts[1:1] = rng.sample(lines, 3)
+        if rng.random() < 0.5:
+            parts.insert(rng.randrange(len(parts)), rng.choice(planted))
+        elif rng.random() < 0.3:
+            # a word in 60 differs, so that nothing is equal over 60 words, and the similarity of the shingles is 0.8 or more
+            k = rng.randrange(len(planted))
+            parts.insert(2, " ".join(w if i % 60 != 40 else f"x{d}" for i, w in enumerate(planted[k].split())))
+            near[d] = k
+        data.append((d, " ".join(parts)))
+    data += [(500, data[10][1]), (501, data[10][1])]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    spans, partners = {}, {}
+    for r in substring_dedup.passage_pairs(df).collect():
+        own = {i for s in r.spans.split(",") for i in range(*map(int, s.split(":")))}
+        assert r.other_doc_id < r.doc_id and r.n_words == len(own) and r.n_spans == len(r.spans.split(","))
+        spans.setdefault(r.doc_id, set()).update(own)
+        partners.setdefault(r.doc_id, set()).add(r.other_doc_id)
+    want = exact_repeats(data)
+    assert all(found <= spans.get(d, set()) for d, found in want.items())
+    text = dict(data)
+    for d, others in partners.items():
+        for o in others:
+            mine, theirs = shingles(text[d], 5), shingles(text[o], 5)
+            assert len(mine & theirs) >= 0.8 * 46 * 0.8
+    assert partners[500] >= {10} and partners[501] >= {10}
+    # a near copy of a passage that an earlier document has
+    known = {k: min((d for d, t in data if planted[k] in t), default=10_000) for k in range(len(planted))}
+    able = [d for d, k in near.items() if known[k] < d]
+    assert sum(d in spans for d in able) >= 0.9 * len(able)
