@@ -402,6 +402,51 @@ def test_mixing(spark, docs, odd, none):
     assert mean["a"] < mean["b"] < mean["c"]
 
 
+def test_readings(spark, odd, none):
+    """Each source's readings, in the order of its passes, replayed against its schedule."""
+    mixed, read = mixing.mix(odd).collect(), mixing.readings(odd).collect()
+    positions = [r.position for r in read]
+    assert positions == sorted(positions) and len(read) == sum(r.copies for r in mixed)
+    words, taken = {}, {}
+    for r in read:
+        words[r.doc_id] = words.get(r.doc_id, 0) + r.words
+    for r in mixed:
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    assert words == {d: n for d, n in taken.items() if n}
+    first = {(r.doc_id, r.source, r.position) for r in mixed if r.taken}
+    assert first == {(r.doc_id, r.source, r.position) for r in read if r.copy == 1}
+    names = sorted({r.source for r in mixed}, key=lambda s: (s is None, s or ""))
+    for i, source in enumerate(names):
+        a, target = mixing.SLOPES[i % 3], next(r.target for r in mixed if r.source == source)
+        done = 0
+        for r in sorted((r for r in read if r.source == source), key=lambda r: (r.position, r.copy)):
+            t = r.position
+            assert target * (t + a * (t * t - t)) == pytest.approx(done, abs=0.01)
+            done += r.words
+        assert done == round(target)
+    assert max(r.copy for r in read) <= 3 and mixing.readings(none).count() == 0
+
+
+def test_sources_in_shards(spark):
+    """Many sources, dealt to many shards or to one, have the targets of water filled by hand."""
+    import random
+
+    rng = random.Random(3)
+    sizes = {f"d{i:04d}" if i else None: rng.choice((0, 1, 5, 40, 700)) for i in range(900)}
+    sized = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long").repartition(5)
+    got = [sorted((r.source or "~", r.source_size, r.weight, r.slope, r.target) for r in mixing.source_targets(sized, shard_rows=n).collect()) for n in (50, 1 << 17)]
+    assert got[0] == got[1]
+    order = [*sorted(s for s in sizes if s is not None), None]
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    low, high = 0.0, 1e7
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(3 * sizes[s], level * weight[s]) for s in order) < sum(sizes.values()) else (low, level)
+    for source, _, w, _, target in got[0]:
+        s = None if source == "~" else source
+        assert w == weight[s] and target == pytest.approx(min(3 * sizes[s], low * w), abs=1e-4)
+
+
 def area(scores, toxic):
     order = np.argsort(scores, kind="stable")
     rank = np.empty(len(scores))
