@@ -28,7 +28,7 @@ Estimate = Callable[[DataFrame, int], DataFrame]
 @dataclass(frozen=True)
 class Method:
     """estimate(impressions, seed) gives (run_index, num_sets, estimate) or, with several levels, also
-    frequency_level. All runs of a plan share one hash seed; runs differ in their data."""
+    frequency_level. All runs of a plan share one hash seed; `simulate.apart` keeps their hashes independent."""
 
     name: str
     estimate: Estimate

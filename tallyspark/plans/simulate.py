@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyspark.functions.hashing import h60_value
+from tallyspark.functions.hashing import h60, h60_value
 from tallyspark.operators import prefixes
 from tallyspark.plans.methods import Method
 from tallyspark.sources.generators import Generator
@@ -37,11 +37,19 @@ def extend_histogram(h: Column, length: int) -> Column:
     return F.slice(F.concat(h, F.array_repeat(F.lit(0).cast("double"), length)), 1, length)
 
 
-def raw_results(impressions: DataFrame, method: Method, seed: int, max_frequency: int | None = None) -> DataFrame:
+def apart(impressions: DataFrame, seed: int) -> DataFrame:
+    """The same impressions, in which each run after the first has its own names for the ids: a run's mask, drawn from the seed,
+    turns some of their bits. One id stays one id, so reach and frequencies are as before, but a plan's
+    hash functions, which share a seed, are independent between runs, also where all runs reach the same people."""
+    mask = h60(seed, "run", F.col("run_index"))
+    return impressions.withColumn("id", F.when(F.col("run_index") == 0, F.col("id")).otherwise(F.col("id").bitwiseXOR(mask)))
+
+
+def raw_results(impressions: DataFrame, method: Method, seed: int, max_frequency: int | None = None, *, shared_seed: bool = False) -> DataFrame:
     """One row per run and prefix: num_sets, estimated_cardinality_k and true_cardinality_k for each level,
-    shuffle_distance, run_index, relative_error_k."""
+    shuffle_distance, run_index, relative_error_k. Each run's sketches have a hash seed of their own, unless shared_seed."""
     top = max_frequency or method.max_frequency
-    found = method.levels(impressions, seed, top)
+    found = method.levels(impressions if shared_seed else apart(impressions, seed), seed, top)
     truth = prefixes.level_reach(impressions, top)
     keys = ["run_index", "num_sets"]
     both = found.join(truth, [*keys, "frequency_level"])
@@ -59,10 +67,10 @@ def aggregated(raw: DataFrame) -> DataFrame:
     return raw.groupBy("num_sets").agg(*[f(F.col(c).cast("double")).alias(f"{c}_{n}") for c in metrics for f, n in ((F.avg, "mean"), (F.stddev_samp, "std"))])
 
 
-def simulate(spark: SparkSession, generator: Generator, method: Method, num_runs: int, *, data_seed: int = 1, sketch_seed: int = 2, max_frequency: int | None = None) -> DataFrame:
+def simulate(spark: SparkSession, generator: Generator, method: Method, num_runs: int, *, data_seed: int = 1, sketch_seed: int = 2, max_frequency: int | None = None, shared_seed: bool = False) -> DataFrame:
     """Raw results of num_runs runs. Data depend on data_seed alone, so all methods see the same."""
     impressions = generator.generate(spark, num_runs, data_seed)
-    return raw_results(impressions, method, sketch_seed_of(sketch_seed), max_frequency)
+    return raw_results(impressions, method, sketch_seed_of(sketch_seed), max_frequency, shared_seed=shared_seed)
 
 
 def sketch_seed_of(seed: int) -> int:

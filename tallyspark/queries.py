@@ -801,13 +801,30 @@ _SMOKE_SEED = h60_value("sketch", 2) % (1 << 31)
 _SMOKE_METRICS = ("estimated_cardinality_1", "true_cardinality_1", "shuffle_distance", "relative_error_1")
 
 
-@query(f"WITH imp AS MATERIALIZED {sample_sql([2000] * 5, 20_000, 'set', 5, 1)}, firsts AS (SELECT run_index, {h(_SMOKE_SEED)} % 100000 AS register, min(set_index) AS s FROM imp GROUP BY ALL), ids AS (SELECT run_index, id, min(set_index) AS s FROM imp GROUP BY ALL), raw AS (SELECT r.run_index, g.n AS num_sets, (SELECT count(*) FROM firsts f WHERE f.run_index = r.run_index AND f.s <= g.n) AS x, (SELECT count(*) FROM ids f WHERE f.run_index = r.run_index AND f.s <= g.n) AS true_cardinality_1 FROM (SELECT DISTINCT run_index FROM imp) r CROSS JOIN range(1, 6) g(n)), e AS (SELECT num_sets::INT AS num_sets, -100000 * ln(1 - x / 100000.0::DOUBLE) AS estimated_cardinality_1, true_cardinality_1::DOUBLE AS true_cardinality_1, 0.0::DOUBLE AS shuffle_distance, (-100000 * ln(1 - x / 100000.0::DOUBLE) - true_cardinality_1) / true_cardinality_1 AS relative_error_1 FROM raw) SELECT num_sets, " + ", ".join(f"round(avg({c}), 6) + 0.0::DOUBLE AS {c}_mean, round(stddev_samp({c}), 6) + 0.0::DOUBLE AS {c}_std" for c in _SMOKE_METRICS) + " FROM e GROUP BY num_sets")
+def smoke_sql(hashed: str) -> str:
+    return f"WITH imp AS MATERIALIZED {sample_sql([2000] * 5, 20_000, 'set', 5, 1)}, firsts AS (SELECT run_index, {hashed} % 100000 AS register, min(set_index) AS s FROM imp GROUP BY ALL), ids AS (SELECT run_index, id, min(set_index) AS s FROM imp GROUP BY ALL), raw AS (SELECT r.run_index, g.n AS num_sets, (SELECT count(*) FROM firsts f WHERE f.run_index = r.run_index AND f.s <= g.n) AS x, (SELECT count(*) FROM ids f WHERE f.run_index = r.run_index AND f.s <= g.n) AS true_cardinality_1 FROM (SELECT DISTINCT run_index FROM imp) r CROSS JOIN range(1, 6) g(n)), e AS (SELECT num_sets::INT AS num_sets, -100000 * ln(1 - x / 100000.0::DOUBLE) AS estimated_cardinality_1, true_cardinality_1::DOUBLE AS true_cardinality_1, 0.0::DOUBLE AS shuffle_distance, (-100000 * ln(1 - x / 100000.0::DOUBLE) - true_cardinality_1) / true_cardinality_1 AS relative_error_1 FROM raw) SELECT num_sets, " + ", ".join(f"round(avg({c}), 6) + 0.0::DOUBLE AS {c}_mean, round(stddev_samp({c}), 6) + 0.0::DOUBLE AS {c}_std" for c in _SMOKE_METRICS) + " FROM e GROUP BY num_sets"
+
+
+@query(smoke_sql(h(_SMOKE_SEED)))
 def simulate_smoke(spark, d):
-    """A small run of a whole scenario: 5 runs of 5 independent sets under the uniform filter."""
-    found = simulate.aggregated(simulate.simulate(spark, gen.Independent(20_000, [2000] * 5), registry.uniform_filter(100_000), 5))
+    """A small run of a whole scenario: 5 runs of 5 independent sets under the uniform filter, all with one hash seed."""
+    return smoke(simulate.simulate(spark, gen.Independent(20_000, [2000] * 5), registry.uniform_filter(100_000), 5, shared_seed=True))
+
+
+def smoke(raw):
+    found = simulate.aggregated(raw)
     return found.select("num_sets", *[(F.round(c, 6) + 0.0).alias(c) for c in found.columns if c != "num_sets"])
 
 
+_RUN_ID = f"CASE WHEN run_index = 0 THEN id ELSE xor(id, {h60_sql(repr(str(_SMOKE_SEED)), repr('run'), 'run_index::VARCHAR')}) END"
+
+
+@query(smoke_sql(h(_SMOKE_SEED, f"({_RUN_ID})")))
+def simulate_run_seeds(spark, d):
+    """The same with a hash seed for each run, as evaluations have it."""
+    return smoke(simulate.simulate(spark, gen.Independent(20_000, [2000] * 5), registry.uniform_filter(100_000), 5))
+
+
 RAW = "raw AS (SELECT l_returnflag AS sketch_estimator, l_linestatus AS scenario, (l_orderkey % 20)::INT AS run_index, l_linenumber AS num_sets, round(avg(l_discount) - 0.05, 9) AS relative_error_1, round(sum(l_quantity), 6) AS estimated_cardinality_1, round(sum(l_quantity) / 2, 6) AS estimated_cardinality_2, round(sum(l_tax), 6) AS true_cardinality_1, round(sum(l_tax) / 2, 6) AS true_cardinality_2 FROM lineitem GROUP BY ALL)"
 CRITERIA = [(0.01, 0.8), (0.005, 0.6), (0.001, 0.5)]
 

@@ -381,3 +381,15 @@ def test_frequency_report(tmp_path, spark):
     page = open(path).read()
     assert "Cardinality by frequency" in page and "sketch epsilon ln3, estimate epsilon infty" in page and page.count("<svg") == 2
     assert list(report.by_epsilons(summary, "shuffle_distance")) == ["sketch epsilon ln3, estimate epsilon infty"]
+
+
+def test_runs_have_hash_seeds_of_their_own(spark):
+    """Where every run reaches the same people, errors still vary by run, and truth and exact results don't change."""
+    same = gen.SequentiallyCorrelated("original", "all", 0.5, [2000] * 4)
+    for method, spread in ((registry.log_filter(20_000), True), (registry.uniform_filter(20_000), True), (registry.exact(1), False)):
+        for shared in (False, True):
+            rows = simulate.simulate(spark, same, method, 6, shared_seed=shared).where("num_sets = 4").collect()
+            assert {r.true_cardinality_1 for r in rows} == {5000} and len(rows) == 6
+            assert (len({r.estimated_cardinality_1 for r in rows}) > 1) == (spread and not shared)
+            if not spread:
+                assert {r.estimated_cardinality_1 for r in rows} == {5000}
