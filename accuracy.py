@@ -35,7 +35,7 @@ def scenarios() -> list[registry.Scenario]:
 
 
 def geo_filter(length: int, local: float | None) -> m.Method:
-    """Fixed value: the published results are of probability 0.0012; the registry's is 2 / length."""
+    """Probability 0.0012, that of an older description; the published results don't record theirs, but their spread fits it and not the registry's 2 / length."""
     return registry.method("geo_bloom_filter", f"{length}_0.001200", "first_moment_geo", m.filter_method(sk.geometric_filter(length, 0.0012), local), local=local)
 
 
