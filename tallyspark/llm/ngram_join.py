@@ -2,13 +2,14 @@
 
 1. Every text becomes its set of k-word shingles (64-bit hashes); equal sets
    form classes, and one row stands for a class from here on.
-2. A set's `KEYS` smallest shingle hashes are its tile keys. Of two sets with
-   Jaccard similarity s, the smallest hash of one is missing from the other with
-   probability at most 1 - s, so two linked sets at 0.85 share no key with
-   probability below 0.15^16 = 7e-14 (a set of up to KEYS shingles emits all).
+2. A set's `KEYS` smallest shingle hashes are its tile keys (a set of up to KEYS shingles has all). Linked sets differ in fewer than
+   `needed` of them: always, if the set is too small to have so many shingles of its own, else but for the probability that of KEYS
+   hashes KEEP are missing, each with at most 1 - s: 5e-14 at 0.85. So all keys in one order, a set emits its first `needed` ones only, and the first key that
+   two linked sets share is among those of both. Keys of over `TILE` sets come last in this order, by their number of sets: a common line
+   makes no tile of all its documents, as these meet under rarer keys, if they are linked.
 3. Within a tile rows are sorted by size and compared only inside the band of
    sizes that can link. Bit counts of the signatures bound the intersection from
-   above; what passes is joined to a forest, so that a tile of m rows emits at most
+   above, and sets that differ in `needed` keys aren't linked (which tells apart long texts, whose signatures are full); what passes is joined to a forest, so that a tile of m rows emits at most
    m - 1 edges, never all its pairs.
 4. The components of that forest are candidates only: inside each
    the sorted shingle arrays are intersected exactly, and the
@@ -37,11 +38,14 @@ from tallyspark.llm import textkernel as tk
 from tallyspark.llm.components import connected_components
 from tallyspark.llm.shared import binaries, bitmap, column, dealt, groups, has_bit, lists, materialize, matrix, tidied
 
-KEYS = 16
-#: Bits of a signature, and the logarithm of those of the filter of shared keys.
-BITS, KEY_BITS = 2048, 26
+KEYS, KEEP = 32, 24
+#: Bits of a signature, words of 64 bits of it with 32 bits of each key, and the logarithm of the bits of the filter of shared keys.
+BITS, KEY_BITS = 1024, 26
+WORDS = BITS // 64 + KEYS // 2
 #: Rows of a tile, and shingles of a block of candidates, that one task compares.
 TILE, BLOCK_ROWS, BLOCK_SHINGLES = 4096, 512, 1_000_000
+#: The logarithm of the bits of the filter of members.
+ID_BITS = 26
 
 
 def sets(texts: pa.Array, k: int, separators: np.ndarray = tk.SPACE) -> Iterator[np.ndarray]:
@@ -55,13 +59,13 @@ def sets(texts: pa.Array, k: int, separators: np.ndarray = tk.SPACE) -> Iterator
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, d1, d2, keys, bits): set size, 128-bit set digest, tile keys, signature."""
+    """(doc_id, n, d1, d2, keys, bits): set size, 128-bit set digest, tile keys, signature and keys again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.zeros(batch.num_rows, dtype=np.int64)
             digest = np.zeros((2, batch.num_rows), dtype=np.uint64)
-            bits = np.zeros((batch.num_rows, BITS // 64), dtype=np.uint64)
+            bits = np.zeros((batch.num_rows, WORDS), dtype=np.uint64)
             keys, offsets = [], np.zeros(batch.num_rows + 1, dtype=np.int64)
             with np.errstate(over="ignore"):
                 for i, own in enumerate(sets(batch.column(1), k)):
@@ -80,10 +84,23 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def signature(own: np.ndarray) -> np.ndarray:
-    """BITS bits; a shingle sets the one that its hash's low bits name."""
+    """BITS bits; a shingle sets the one that its hash's low bits name. Behind them 32 bits of each key, zeros where there are fewer."""
     on = np.zeros(BITS, dtype=bool)
     on[(own & np.uint64(BITS - 1)).astype(np.int64)] = True
-    return np.packbits(on, bitorder="little").view(np.uint64)
+    keys = np.zeros(KEYS, np.uint32)
+    keys[: len(own[:KEYS])] = np.maximum(mark(own[:KEYS]), 1)
+    return np.concatenate([np.packbits(on, bitorder="little").view(np.uint64), keys.view(np.uint64)])
+
+
+def mark(keys: np.ndarray) -> np.ndarray:
+    """32 bits of each key. The smallest hashes are alike in their upper bits, and the lowest ones make the signature."""
+    return (tk.mixed(keys) >> np.uint64(32)).astype(np.uint32)
+
+
+def needed(size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """So many of their keys linked sets don't differ by; size is of either."""
+    # the union has at most size * den / num shingles, and num/den of them are common
+    return np.minimum(KEEP, size * (den - num) // num + 1)
 
 
 class Forest:
@@ -138,9 +155,17 @@ def tile_edges(size: np.ndarray, bits: np.ndarray, side: np.ndarray, num: int, d
 
 
 def may_link(size: int, bits: np.ndarray, sizes: np.ndarray, others: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which of the rows the bit counts can't rule out as links of one row."""
-    most = np.minimum(size - np.bitwise_count(bits & ~others).sum(axis=1), sizes - np.bitwise_count(others & ~bits).sum(axis=1))
-    return den * most >= num * (size + sizes - most)
+    """Which of the rows the bit counts and keys can't rule out as links of one row."""
+    on, their = bits[: BITS // 64], others[:, : BITS // 64]
+    most = np.minimum(size - np.bitwise_count(on & ~their).sum(axis=1), sizes - np.bitwise_count(their & ~on).sum(axis=1))
+    out = den * most >= num * (size + sizes - most)
+    some = np.flatnonzero(out)
+    # a key's 32 bits may be those of another one by chance, which only adds to what is shared
+    own = bits[BITS // 64 :].view(np.uint32)
+    keys = np.ascontiguousarray(others[some][:, BITS // 64 :]).view(np.uint32)
+    both = (np.isin(keys, own[own > 0]) & (keys > 0)).sum(axis=1)
+    out[some] = np.minimum(sizes[some], KEYS) - both < needed(sizes[some], num, den)
+    return out
 
 
 def starred(rows: DataFrame, large: DataFrame, linked: Callable[[int, bytes, np.ndarray, pa.Array], np.ndarray]) -> DataFrame:
@@ -190,38 +215,54 @@ def star_edges(stars: DataFrame) -> DataFrame:
     return stars.where("linked and id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
 
 
-def shared_posts(reps: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(key, id, n): each class under those of its tile keys that are in the filter of shared ones."""
-    shipped = reps.sparkSession.sparkContext.broadcast(bits)
+def kept_posts(reps: DataFrame, bits: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], num: int, den: int) -> DataFrame:
+    """(key, id, n, often): each class under those of its first `needed` tile keys that are in the filter of shared ones.
+
+    frequent: the frequent keys, sorted, and how many classes have them; they come last, by that number.
+    """
+    shipped = reps.sparkSession.sparkContext.broadcast((bits, *frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, often, counts = shipped.value
         for batch in batches:
             keys = batch.column(2)
-            values = keys.flatten().to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), keys.value_lengths().to_numpy())
-            on = has_bit(shipped.value, values)
+            values, sizes = keys.flatten().to_numpy(), keys.value_lengths().to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            rows = np.zeros(len(values), np.int64)
+            if len(often):
+                at = np.minimum(np.searchsorted(often, values), len(often) - 1)
+                rows = np.where(often[at] == values, counts[at], 0)
+            order = np.lexsort((values, rows, row))
+            values, rows = values[order], rows[order]
+            rank = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            on = (rank < needed(batch.column(1).to_numpy(), num, den)[row]) & has_bit(bits, values)
             row = pa.array(row[on])
-            yield pa.RecordBatch.from_arrays([pa.array(values[on]), batch.column(0).take(row), batch.column(1).take(row)], ["key", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(values[on]), batch.column(0).take(row), batch.column(1).take(row), pa.array(rows[on] > 0)], ["key", "id", "n", "often"])
 
-    return reps.select("rep", "n", "keys").mapInArrow(lambda rows: tidied(run(rows)), "key long, id long, n long")
+    return reps.select("rep", "n", "keys").mapInArrow(lambda rows: tidied(run(rows)), "key long, id long, n long, often boolean")
 
 
 def candidate_edges(reps: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (a, b) between classes, by tile, that the signatures cannot rule out."""
-    counts = reps.select(F.explode("keys").alias("key"), "n").groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
-    many = materialize(counts.where("rows > 1"), "tiles")
-    large = materialize(many.where(F.col("rows") > TILE).select("key", F.ceil(F.col("rows") / TILE).alias("blocks"), (F.col("total") / F.col("rows")).alias("mean")), "large")
-    posts = shared_posts(reps, bitmap(many, "key", KEY_BITS))
+    many = materialize(reps.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "tiles")
+    # at most KEYS / TILE of the classes' number, 1 in 128
+    found = sorted(tuple(r) for r in many.where(F.col("rows") > TILE).collect())
+    frequent = tuple(np.array([r[i] for r in found], np.int64) for i in range(2))
+    posts = kept_posts(reps, bitmap(many, "key", KEY_BITS), frequent, num, den)
     bits = reps.select(F.col("rep").alias("of"), "bits").hint("merge")
     placed, stars = posts, None
-    if not large.isEmpty():
-        ours = reps.select(F.explode("keys").alias("key"), F.col("rep").alias("id"), "n", F.col("bits").alias("payload")).join(large.select("key"), "key", "left_semi")
-
-        def linked(size: int, payload: bytes, sizes: np.ndarray, others: pa.Array) -> np.ndarray:
-            return may_link(size, np.frombuffer(payload, np.uint64), sizes, matrix(others, np.uint64, BITS // 64), num, den)
-
-        stars = starred(ours, large, linked)
-        placed = posts.join(large.select("key"), "key", "left_anti")
+    if found:
+        kept = materialize(posts.where("often").drop("often"), "kept")
+        rows = kept.groupBy("key").agg(F.count("*").alias("rows"), F.avg("n").alias("mean")).where(F.col("rows") > TILE)
+        large = materialize(rows.select("key", F.ceil(F.col("rows") / TILE).alias("blocks"), "mean"), "large")
+        placed = posts.where("not often").drop("often").unionAll(kept.join(large.select("key"), "key", "left_anti"))
+        if not large.isEmpty():
+            ours = kept.join(large.select("key"), "key", "left_semi").join(bits, F.col("id") == F.col("of")).select("key", "id", "n", F.col("bits").alias("payload"))
+
+            def linked(size: int, payload: bytes, sizes: np.ndarray, others: pa.Array) -> np.ndarray:
+                return may_link(size, np.frombuffer(payload, np.uint64), sizes, matrix(others, np.uint64, WORDS), num, den)
+
+            stars = starred(ours, large, linked)
     placed = placed.select("key", F.lit(0).alias("left"), F.lit(0).alias("right"), "id", "n", F.lit(0).alias("side"))
     placed = placed if stars is None else placed.unionAll(tiles(stars, large, TILE))
     placed = placed.join(bits, F.col("id") == F.col("of"))
@@ -230,7 +271,7 @@ def candidate_edges(reps: DataFrame, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, starts in groups(batches, ["key", "left", "right"]):
             size, rep, side = (whole.column(c).to_numpy() for c in ("n", "id", "side"))
-            bits = matrix(whole.column("bits"), np.uint64, BITS // 64)
+            bits = matrix(whole.column("bits"), np.uint64, WORDS)
             a, b = [], []
             for s, e in zip(starts[:-1], starts[1:]):
                 for i, j in tile_edges(size[s:e], bits[s:e], side[s:e], num, den) if e - s > 1 else ():
@@ -288,21 +329,24 @@ def exact_links(docs: DataFrame, members: DataFrame, k: int, num: int, den: int)
     """
     whole = members.groupBy(F.col("label").alias("key")).agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"), F.avg("n").alias("mean"))
     large = materialize(whole.where("blocks > 1"), "large")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members.hint("merge"), "id")
+    # only members' texts are read further: a filter of their ids comes before any shuffle
+    hashed = F.xxhash64("id").alias("hash")
+    shipped = docs.sparkSession.sparkContext.broadcast(bitmap(members.select(hashed), "hash", ID_BITS))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(has_bit(shipped.value, column(batch, "hash"))))
             # in slices, as a text's array is larger than the text
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 arrays = list(sets(part.column(1), k))
                 with np.errstate(over="ignore"):
                     digest = [int(tk.seeded(own, 1).sum(dtype=np.uint64).view(np.int64)) for own in arrays]
-                meant = pa.array(np.equal(digest, column(part, "d1")))
-                made = pa.RecordBatch.from_arrays([part.column(3), part.column(0), part.column(4), pa.array([own.tobytes() for own in arrays], pa.binary())], ["key", "id", "n", "payload"])
-                yield made.filter(meant)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.int64()), pa.array([own.tobytes() for own in arrays], pa.binary())], ["of", "digest", "payload"])
 
-    arrays = texts.select("id", "text", "d1", "label", "n").mapInArrow(lambda rows: tidied(shingled(rows)), "key long, id long, n long, payload binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null").select("id", "text", hashed)
+    made = texts.mapInArrow(lambda rows: tidied(shingled(rows)), "of long, digest long, payload binary")
+    arrays = made.join(members.hint("merge"), (F.col("of") == F.col("id")) & (F.col("digest") == F.col("d1"))).select(F.col("label").alias("key"), "id", "n", "payload")
     columns = ["key", "left", "right", "n", "id", "side", "payload"]
     zero = F.lit(0)
     stars = None

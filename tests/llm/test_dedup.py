@@ -66,6 +66,25 @@ def test_many_near_copies(spark):
     assert rows(got) == brute_components(data, 4, 85, 100)
 
 
+def test_a_common_line_makes_no_tile_of_all_its_documents(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 16)
+    made, whole = [], ngram_join.tiles
+    monkeypatch.setattr(ngram_join, "tiles", lambda *args: made.append(whole(*args)) or made[-1])
+    line = prose(7, 22)
+    data = [(i, f"{prose(8000 + i, 30 + i)} {line}") for i in range(300)]
+    data += [(400 + i, f"{data[i][1]} more {i}") for i in range(20)]
+    got = ngram_join.ngram_join(spark.createDataFrame(data, "doc_id long, text string"), 4, 85, 100)
+    assert rows(got) == brute_components(data, 4, 85, 100)
+    assert sum(t.count() for t in made) < len(data)
+
+
+def test_long_texts_with_a_passage_in_common_are_no_candidates(spark):
+    passage = prose(7, 800)
+    data = [(i, f"{prose(100 + i, 4000)} {passage}") for i in range(12)]
+    reps = ngram_join.sketches(spark.createDataFrame(data, "doc_id long, text string"), 4).withColumnRenamed("doc_id", "rep")
+    assert ngram_join.candidate_edges(reps, 85, 100).count() == 0
+
+
 def brute_suffix(data, n=50):
     first = {}
     for d, t, *_ in data:
