@@ -8,9 +8,11 @@ in `min_docs` documents or more is boilerplate: its lines are dropped from every
 document but the one with the smallest id. (Five by default: what fewer documents share is rather a quotation or a near copy,
 which other operators judge as a whole.)
 
-A leaf with more than `LEAF_LINES` distinct lines is split twice, by more of the leading tokens and by as many of the last
-ones, so that fields vary at either end; a part that is still too large is split again by twice as many. So no task holds more than that many lines of a leaf. A line
-of such a leaf has a template in each split, and goes if one of them is boilerplate.
+A leaf is parsed whole, however many lines it has, so what becomes of a line doesn't depend on how many others there are: a line is compared
+only with templates with which it shares one of so many stretches that two lines which join can't differ in all of them, which leaves out none.
+(With `LEAF_LINES` set, a leaf of more distinct lines is split twice, by more of the leading tokens and by as many of the last
+ones; a part that is still too large is split again by twice as many, and a line of such a leaf has a template in each split, and goes if one of them is boilerplate. That
+bounds a task, but a template with fields at both ends is missed, and the result depends on the leaf's size.)
 
 Only leaves that enough documents reach can hold such a template. They are
 counted first (one row per document and leaf, combined before the shuffle) and
@@ -36,8 +38,8 @@ from tallyspark.llm.shared import bitmap, dealt, groups, has_bit, lists, materia
 
 DEPTH, MIN_DOCS = 3, 5
 BITMAP_BITS = 24
-#: Distinct lines of a leaf that one task parses.
-LEAF_LINES = 1024
+#: Distinct lines of a leaf beyond which it is split; None: never.
+LEAF_LINES: int | None = None
 SALTS = 8
 WILD = np.uint64(0x2A)
 
@@ -118,30 +120,50 @@ def lines_in(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
 
 def grow(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Each line's template, for one leaf's lines as rows of equally many tokens, in order."""
+    """Each line's template, for one leaf's lines as rows of equally many tokens, in order: the place of its first line.
+
+    A line and its template differ, or have a wildcard, in at most `most` places. These are dealt to most + 1 stretches of the places that
+    vary, so in one of these the line equals the template's first line, and only such templates are looked at.
+    """
     n, width = tokens.shape
-    templates, wild, out = np.zeros((4, width), np.int32), np.zeros((4, width), dtype=bool), np.zeros(n, np.int64)
-    made = 0
-    for i in range(n):
-        row = tokens[i]
-        if made:
-            same = ((templates[:made] == row) & ~wild[:made]).sum(axis=1)
+    out = np.arange(n)
+    most = width - -(-num * width // den)
+    varied = np.flatnonzero((tokens != tokens[0]).any(axis=0))
+    if len(varied) <= most:
+        return np.zeros(n, np.int64)
+    shared = []
+    for places in np.array_split(varied, most + 1):
+        keys = np.zeros(n, np.uint64)
+        for j in places:
+            keys = tk.mixed(keys ^ tokens[:, j].astype(np.uint64))
+        _, number, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        # a stretch that no other line has leads nowhere
+        shared.append(np.where(counts[number] > 1, number, -1))
+    shared = np.stack(shared, axis=1)
+    held: dict[tuple[int, int], list[int]] = {}
+    wild = np.zeros(tokens.shape, dtype=bool)
+    for i in np.flatnonzero((shared >= 0).any(axis=1)).tolist():
+        row, places = tokens[i], [(s, g) for s, g in enumerate(shared[i].tolist()) if g >= 0]
+        found = sorted({t for place in places for t in held.get(place, ())})
+        if found:
+            same = ((tokens[found] == row) & ~wild[found]).sum(axis=1)
             best = int(np.argmax(same))
             if den * same[best] >= num * width:
-                wild[best] |= templates[best] != row
+                best = found[best]
+                wild[best] |= tokens[best] != row
                 out[i] = best
                 continue
-        if made == len(templates):
-            templates, wild = np.concatenate([templates, np.zeros_like(templates)]), np.concatenate([wild, np.zeros_like(wild)])
-        templates[made] = row
-        out[i] = made
-        made += 1
+        for place in places:
+            held.setdefault(place, []).append(i)
     return out
 
 
 def templates(lines: DataFrame, num: int, den: int) -> DataFrame:
-    """(line, template): every distinct line's template, or two and more for the lines of a large leaf."""
-    todo = materialize(lines.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens")), "distinct")
+    """(line, template): every distinct line's template, or two and more for the lines of a leaf that is split."""
+    todo = lines.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens"))
+    if LEAF_LINES is None:
+        return grown(todo, num, den)
+    todo = materialize(todo, "distinct")
     parts, depth = [], DEPTH
     while True:
         many = materialize(todo.groupBy(F.col("leaf").alias("large")).count().where(F.col("count") > LEAF_LINES), "large")
@@ -177,8 +199,7 @@ def grown(lines: DataFrame, num: int, den: int) -> DataFrame:
                     if width <= DEPTH or offsets[e] - offsets[s] != width * (e - s):
                         continue  # all tokens lead to the leaf: only equal lines share it
                     found = grow(values[offsets[s] : offsets[e]].reshape(e - s, width), num, den)
-                    _, first = np.unique(found, return_index=True)
-                    names[s:e] = line[s:e][first][found]
+                    names[s:e] = line[s:e][found]
             names = tk.mixed(names.view(np.uint64) ^ tk.mixed(leaf.view(np.uint64))).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(line), pa.array(names)], ["line", "template"])
 

@@ -243,6 +243,38 @@ def test_line_dedup_matches_brute_force(spark, monkeypatch, leaf_lines):
     assert sum(w[2] for w in want) > 40
 
 
+@pytest.mark.parametrize("others", [0, 1500])
+def test_templates_dont_depend_on_the_size_of_their_leaf(spark, others):
+    """A template with a field at each end, in a leaf with many other lines."""
+    names = "anna bert carl dora emil fred gina hans".split()
+    data = [(i, f"this page was {n} last changed by some user on the main server this {n[::-1]}") for i, n in enumerate(names)]
+    data += [(100 + i, f"this page was {prose(20_000 + i, 12)}".replace("\n", " ")) for i in range(others)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in line_dedup.line_dedup(df).collect() if r.n_dropped} == set(range(1, 8))
+    kept = {r.doc_id: r.text for r in line_dedup.drop_lines(df).collect()}
+    assert all((kept[i] == "") == (0 < i < 8) for i in kept)
+
+
+@pytest.mark.parametrize("width", [4, 5, 9, 15])
+def test_grow_compares_with_every_template(width):
+    rng = np.random.default_rng(width)
+    for _ in range(20):
+        tokens = rng.integers(0, 3, (150, width)).astype(np.int32)
+        tokens[:, :3] = 1
+        first, wild, want = [], [], []
+        for i, row in enumerate(tokens):
+            same = [int(((tokens[t] == row) & ~w).sum()) for t, w in zip(first, wild)]
+            if same and 100 * max(same) >= 80 * width:
+                best = same.index(max(same))
+                wild[best] |= tokens[first[best]] != row
+                want.append(first[best])
+            else:
+                first.append(i)
+                wild.append(np.zeros(width, dtype=bool))
+                want.append(i)
+        assert line_dedup.grow(tokens, 80, 100).tolist() == want
+
+
 def test_drop_lines_with_clashing_names(spark):
     data = [(i, f"{prose(100 + i, 9)}\nall rights reserved by the owner of this page {i}", i) for i in range(8)]
     names = ("n_lines", "n_dropped", "lines", "of", "doc", "line", "leaf", "template", "tokens", "c0", "c1", "first", "salt", "docs")
