@@ -473,3 +473,12 @@ def test_training_carries_the_result():
     trained = found[toxicity.EPOCHS]
     assert area(trained, toxic[held]) >= 0.94
     assert (trained[toxic[held] == 0] >= 0.7).mean() < 0.02
+
+
+def test_training_gives_its_memory_back(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(toxicity, "train", lambda *args: calls.append("train"))
+    monkeypatch.setattr(toxicity, "give_back", lambda: calls.append("back"), raising=False)
+    docs = spark.createDataFrame([(i, "some text") for i in range(40)], "doc_id long, text string")
+    toxicity.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))
+    assert calls == ["train", "back"]
