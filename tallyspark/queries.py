@@ -406,7 +406,7 @@ ACTIVE = f"{IMP}, grid AS (SELECT DISTINCT run_index, set_index AS num_sets FROM
 @query(f"WITH {ACTIVE} SELECT run_index, num_sets, floor(abs({LENGTH} * ln(1 - active / {LENGTH}))) AS estimate FROM x")
 def bloom_union_estimate(spark, d):
     rows = imp(spark, d)
-    return est.filter_prefixes(UNIFORM.build(rows), prefixes.set_grid(rows), UNIFORM, "union")
+    return est.filter_prefixes(UNIFORM.build(rows), prefixes.set_grid(rows), UNIFORM, "union", saturated=True)
 
 
 @query(f"WITH {ACTIVE} SELECT run_index, num_sets, round(-{LENGTH} * ln(1 - active / {LENGTH}), 6) AS estimate FROM x")
