@@ -412,7 +412,7 @@ def bloom_union_estimate(spark, d):
 @query(f"WITH {ACTIVE} SELECT run_index, num_sets, round(-{LENGTH} * ln(1 - active / {LENGTH}), 6) AS estimate FROM x")
 def uniform_estimate(spark, d):
     rows = imp(spark, d)
-    return rounded(est.filter_prefixes(UNIFORM.build(rows), prefixes.set_grid(rows), UNIFORM))
+    return rounded(est.filter_prefixes(UNIFORM.build(rows), prefixes.set_grid(rows), UNIFORM, saturated=True))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -29,3 +29,8 @@ def both(spark, path, name):
 def test_full_bloom_filter(spark, many):
     found, want = both(spark, many, "bloom_union_estimate")
     assert found == want and found[2][1] == float("inf")
+
+
+def test_full_uniform_filter(spark, many):
+    found, want = both(spark, many, "uniform_estimate")
+    assert found == want and found[2][1] == float("inf")
