@@ -441,7 +441,7 @@ GEO_FILL = f"list_sum(list_transform(range({LENGTH}), lambda k: 1 - pow(1 - {GEO
 @query(f"WITH RECURSIVE {IMP}, {prefix_active_sql(GEO_INDEX)}, {inverse_sql('act', 'num_sets', GEO_FILL)} {ESTIMATES}")
 def geometric_estimate(spark, d):
     rows = imp(spark, d)
-    return rounded(est.filter_prefixes(GEOMETRIC.build(rows), prefixes.set_grid(rows), GEOMETRIC), 3)
+    return rounded(est.filter_prefixes(GEOMETRIC.build(rows), prefixes.set_grid(rows), GEOMETRIC, saturated=True), 3)
 
 
 _LOG_TOTAL = f"({LOG_LENGTH} * ln({LOG_LENGTH + 1}.0::DOUBLE) - lgamma({LOG_LENGTH + 1}.0::DOUBLE))"

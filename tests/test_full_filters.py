@@ -34,3 +34,8 @@ def test_full_bloom_filter(spark, many):
 def test_full_uniform_filter(spark, many):
     found, want = both(spark, many, "uniform_estimate")
     assert found == want and found[2][1] == float("inf")
+
+
+def test_full_geometric_filter(spark, many):
+    found, want = both(spark, many, "geometric_estimate")
+    assert found == want and 160_000 < found[2][1] < 1e6
