@@ -21,9 +21,16 @@ def with_name_parts(df: DataFrame, column: str = "sketch_estimator") -> DataFram
     return df.select("*", *name_parts(F.col(column)))
 
 
+def signed_round(c: Column, digits: int) -> Column:
+    """Rounded as IEEE arithmetic has it: the multiple decides on halves, which go away from zero, and a
+    negative number that rounds to zero keeps its sign. Spark's own takes the decimal digits and drops the sign."""
+    power = F.lit(10.0**digits)
+    return F.signum(c) * F.abs(F.round(c * power) / power)
+
+
 def cell(metric: str) -> Column:
-    """'20 (0.0012, 0.0257)': sets, mean and deviation."""
-    number = lambda c: F.when(F.col(c).isNull(), "nan").otherwise(F.format_string("%.4f", F.round(F.col(c), 4)))
+    """'20 (0.0012, 0.0257)': sets, mean and deviation; -0.0000 is a small negative number."""
+    number = lambda c: F.when(F.col(c).isNull(), "nan").otherwise(F.format_string("%.4f", signed_round(F.col(c), 4)))
     return F.concat(F.col("num_estimable_sets").cast("string"), F.lit(" ("), number(f"{metric}_mean"), F.lit(", "), number(f"{metric}_std"), F.lit(")"))
 
 

@@ -851,7 +851,7 @@ def estimable_sets(spark, d):
 
 def summary(spark, d):
     found = analyze.error_at_estimable(raw_frame(spark, d), estimable_sets(spark, d))
-    return found.withColumns({c: F.round(c, 6) for c in ("relative_error_1_mean", "relative_error_1_std")})
+    return found.withColumns({c: report.signed_round(F.col(c), 6) for c in ("relative_error_1_mean", "relative_error_1_std")})
 
 
 @query(f"WITH {ESTIMABLE} SELECT error_margin, proportion_of_runs, e.sketch_estimator, e.scenario, num_estimable_sets, round(avg(relative_error_1), 6) AS relative_error_1_mean, round(stddev_samp(relative_error_1), 6) AS relative_error_1_std FROM estimable e LEFT JOIN raw r ON r.sketch_estimator = e.sketch_estimator AND r.scenario = e.scenario AND r.num_sets = num_estimable_sets GROUP BY ALL")
